@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import decontaminate, exact_dedup, line_dedup, mixing, warc
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.query,
+        "op2_decontaminate": decontaminate.query,
+        "op5_warc": warc.query,
         "op8_exact_dedup": exact_dedup.query,
         "op10_line_dedup": line_dedup.query,
     }
@@ -15,6 +17,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_decontaminate": decontaminate.SQL,
+        "op5_warc": warc.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
