@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.query,
         "op2_decontaminate": decontaminate.query,
+        "op3_language_id": language_id.query,
+        "op4_quality": quality.query,
         "op5_warc": warc.query,
         "op8_exact_dedup": exact_dedup.query,
         "op10_line_dedup": line_dedup.query,
+        "lid_pages": language_id.pages_query,
     }
 
 
