@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.query,
         "op4_quality": quality.query,
         "op5_warc": warc.query,
+        "op6_near_dedup": near_dedup.query,
         "op8_exact_dedup": exact_dedup.query,
         "op10_line_dedup": line_dedup.query,
         "lid_pages": language_id.pages_query,
