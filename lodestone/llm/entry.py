@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc": warc.query,
         "op6_near_dedup": near_dedup.query,
         "op8_exact_dedup": exact_dedup.query,
+        "op9_pii": pii.query,
         "op10_line_dedup": line_dedup.query,
         "lid_pages": language_id.pages_query,
     }

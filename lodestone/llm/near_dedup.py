@@ -11,12 +11,14 @@ sample from all their shingles, and texts near that size do both, so that any
 two texts of similar size share a scheme.  Samples are banded.
 
 Candidates are verified by the weighted Jaccard similarity of their vectors.
-A bucket is worked off in rounds: its smallest member leads and is compared with
-all others; those that link to it leave, unless the triangle inequality of the
-Jaccard distance still allows them a link with a member that does not, and the
-rest goes into the next round.  So a bucket of n texts of c classes costs about
-n x c comparisons, never n**2, and no task holds a bucket.  Links make connected
-components by label propagation over tables.
+A bucket is worked off in rounds.  In each, some members lead: the one in the
+largest buckets, likely the original of its copies, and from round to round
+twice as many others drawn by hash.  Leads are compared with the members that
+are not yet of their component and leave the bucket; a bucket whose members are
+all of one component is done.  So copies of one original cost one comparison
+each, every pair of a bucket that is not connected otherwise is compared in the
+end, and no task holds a bucket.  Links join components by label propagation
+over tables.
 
 Texts equal in all bytes are one node from the start.  Null texts count as
 empty; texts without words are only near their equals.  The class of a row is
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import BITS, _block, _bloom_at, _passes
@@ -203,16 +205,19 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.divide(shared, every, out=np.zeros(n), where=every > 0)
 
 
-def _verify(idf: np.ndarray):
+def _verify(idf: np.ndarray, least: float):
+    """a, b, ca, cb, va, vb -> a, b, ca, cb, whether the vectors are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.diff(buffers(batch.column(2))[0]) + np.diff(buffers(batch.column(3))[0])
+            size = np.diff(buffers(batch.column(4))[0]) + np.diff(buffers(batch.column(5))[0])
             part = np.cumsum(size) >> 22  # about 4 MiB of vectors at once
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
                     own = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(similarities(own.column(2), own.column(3), idf))], ["node", "lead", "similarity"])
+                    near = similarities(own.column(4), own.column(5), idf) >= least
+                    yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(near)], ["a", "b", "ca", "cb", "near"])
 
     return run
 
@@ -249,38 +254,48 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes of different texts."""
+def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFrame:
+    """node, comp: the component of each node that shares a bucket with another."""
     spark = sketches.sparkSession
     nodes = sketches.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     dealt = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = stored(dealt.join(shared, "bucket").select("bucket", "node", F.lit(True).alias("loose")), "buckets")
-    bloom = bloom_of(members.select(F.xxhash64("node").alias("h")))
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = stored(dealt.join(shared, "bucket"), "buckets")
+    labels = stored(placed.groupBy("node").agg(F.sum("n").alias("score")).withColumn("comp", F.col("node")), "labels")
+    members = stored(placed.select("bucket", "node").join(labels, "node"), "buckets")
+    dropped(spark, placed)
+    bloom = bloom_of(labels.select(F.xxhash64("node").alias("h")))
     vectors = stored(sketches.select("node", "vector").filter(_passes(bloom)(F.xxhash64("node"))).groupBy("node").agg(F.first("vector").alias("vector")), "vectors")
-    found = []
+    done, turn = None, 0
     while True:
-        leads = members.filter("loose").groupBy("bucket").agg(F.min("node").alias("lead"))
-        paired = members.join(leads, "bucket").filter(F.col("node") != F.col("lead"))
-        pairs = paired.select("node", "lead").distinct()
-        with_lead = pairs.join(vectors.withColumnsRenamed({"node": "lead", "vector": "v2"}), "lead")
-        with_both = with_lead.join(vectors.withColumnRenamed("vector", "v1"), "node").select("node", "lead", "v1", "v2")
-        checked = stored(with_both.mapInArrow(_verify(idf), "node binary, lead binary, similarity double"), "checked")
-        found.append(checked.filter(F.col("similarity") >= p.similarity))
-        judged = paired.join(checked, ["node", "lead"])
-        apart = judged.filter(F.col("loose") & (F.col("similarity") < p.similarity)).groupBy("bucket").agg(F.max("similarity").alias("nearest"))
-        rest = judged.join(apart, "bucket").select("bucket", "node", (F.col("loose") & (F.col("similarity") < p.similarity)).alias("loose"), "similarity", "nearest")
-        # A linked member stays as long as a member that did not link may be near it.
-        rest = rest.filter((F.col("similarity") < p.similarity) | (F.col("similarity") <= F.col("nearest") + (1 - p.similarity))).select("bucket", "node", "loose")
-        new = stored(rest, "buckets")
-        dropped(spark, members)
-        members = new
-        if members.filter("loose").limit(1).count() == 0:
-            break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.select(F.col("node").alias("a"), F.col("lead").alias("b"), "similarity")
+        alive = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("score", "node")).alias("top"))
+        alive = alive.filter("c1 != c2").select("bucket", "n", F.col("top.node").alias("top"))
+        leads = (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("n")) < (1 << turn) - 1)
+        flagged = stored(members.join(alive, "bucket").select("bucket", "node", "comp", "score", leads.alias("lead")), "round")
+        if flagged.limit(1).count() == 0:
+            return labels.select("node", "comp")
+        lead = flagged.filter("lead").select("bucket", F.col("node").alias("l"), F.col("comp").alias("lc"))
+        met = flagged.join(lead, "bucket").filter((F.col("comp") != F.col("lc")) & (~F.col("lead") | (F.col("node") < F.col("l"))))
+        low = F.col("node") < F.col("l")
+        side = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+        pairs = met.select(side("node", "l").alias("a"), side("l", "node").alias("b"), side("comp", "lc").alias("ca"), side("lc", "comp").alias("cb")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        one = pairs.join(vectors.withColumnsRenamed({"node": "a", "vector": "va"}), "a")
+        both = one.join(vectors.withColumnsRenamed({"node": "b", "vector": "vb"}), "b").select("a", "b", "ca", "cb", "va", "vb")
+        checked = stored(both.mapInArrow(_verify(idf, p.similarity), "a binary, b binary, ca binary, cb binary, near boolean"), "checked")
+        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
+        linked = checked.filter("near").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        left = flagged.filter(~F.col("lead")).select("bucket", "node", "comp", "score")
+        if linked.limit(1).count():
+            moved = components(linked).select(F.col("node").alias("comp"), "label")
+            renamed = lambda t: t.join(moved, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+            old, labels = labels, stored(renamed(labels), "labels")
+            dropped(spark, old)
+            left = renamed(left)
+        old, members = members, stored(left.select("bucket", "node", "comp", "score"), "buckets")
+        dropped(spark, old, flagged)
+        turn += 1
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearParameters = NearParameters()) -> DataFrame:
@@ -290,8 +305,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p:
     own = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     idf = idf_table(own.select("text"), p)
     sketches = stored(own.mapInArrow(_sketch(idf, p), f"id {kind}, node binary, bands array<long>, vector binary"), "sketches")
-    labels = components(links(sketches, idf, p))
-    members = sketches.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("class"))
+    labels = labelled(sketches, idf, p)
+    members = sketches.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
     sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return members.join(sizes, "class").select("id", "class_id", "class_size")
 
