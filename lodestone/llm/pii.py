@@ -89,73 +89,59 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def luhn(value: Column) -> Column:
-    """The check digit holds; of up to 19 digits."""
-    d = F.lpad(_digits(value), 19, "0")
-    twice = F.translate(d, "0123456789", "0246813579")
-    total = sum((F.substring(twice if (19 - i) % 2 == 1 else d, i, 1).cast("int") for i in range(1, 20)), F.lit(0))
-    return total % 10 == 0
+_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: kind, pattern, rows worth searching, check of a match (of value and digits), base kind or not.
+PATTERNS = (
+    ("email", EMAIL, "@", lambda m, d: F.lit(True), True),
+    ("ip", IP, r"[0-9]\.[0-9]", lambda m, d: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), True),
+    ("card", CARD, r"[0-9][0-9 -]{11,}[0-9]", lambda m, d: F.length(d).between(14, 19) & F.call_function("luhn_check", d), True),
+    ("phone", PHONE, r"\+[0-9]", lambda m, d: F.length(d).between(10, 15), True),
+    ("email", BRACKETED, r"[\[(](?:at|AT|@)[\])]", lambda m, d: F.lit(True), False),
+    ("phone", NATIONAL, r"[0-9]{3}[ .-][0-9]{4}", lambda m, d: F.lit(True), False),
+    ("ssn", SSN, r"[0-9]-[0-9]{2}-[0-9]", lambda m, d: F.lit(True), False),
+    ("secret", SECRET, r"(?i)(?:token|secret|passw|key)\b ?[=:]", lambda m, d: F.length(m) >= 24, False),
+)
 
 
-def _is_card(m: Column) -> Column:
-    return F.length(_digits(m)).between(14, 19) & luhn(m)
+def _by_kind(x: Column, values: dict) -> Column:
+    return F.element_at(F.array(*[values[k] if isinstance(values[k], Column) else F.lit(values[k]) for k in KINDS]), x["kind"] + 1)
 
 
-def _is_ip(m: Column) -> Column:
-    part = lambda x: F.ltrim(F.lit("0"), x)
-    return F.forall(F.split(m, r"\."), lambda x: (F.length(part(x)) < 3) | (F.length(part(x)) == 3) & (part(x) <= "255"))
-
-
-def _is_phone(m: Column) -> Column:
-    return F.length(_digits(m)).between(10, 15)
-
-
-def _votes(kind: str, text: Column, x: Column, p: PiiParameters) -> Column:
+def _votes(text: Column, x: Column, p: PiiParameters) -> Column:
     """Votes 0 (against), 1 (silent), 2 (for) of the labelers as a base-3 number, times 4 the value's length class."""
-    m, digits = x["m"], _digits(x["m"])
-    n = F.length(digits)
-    valid = {"email": F.instr(m, "@") > 0, "ip": _is_ip(m), "card": _is_card(m), "phone": (n >= 10) & (n <= 15), "ssn": n == 9, "secret": F.length(m) >= 24}[kind]
-    bare = digits if kind == "card" else m
-    known = bare.rlike(GAZETTEER[kind])
+    m, d = x["m"], x["d"]
+    n, size = F.length(d), F.length(m)
+    known = F.rlike(F.when(x["kind"] == KINDS.index("card"), d).otherwise(m), _by_kind(x, GAZETTEER))
     before = F.substring(text, F.greatest(x["s"] - p.before + 1, F.lit(1)), F.least(x["s"], F.lit(p.before)))
-    cue = before.rlike(CUES[kind])
-    same = (n > 0) & (F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) <= n * 0.3)
-    dull = same | digits.rlike("0123456789|123456789|987654321")
-    shaped = {"email": F.length(m).between(6, 80), "ip": n.between(6, 12), "card": n.between(15, 16), "phone": n.between(10, 13), "ssn": ~dull, "secret": (n > 3) & m.rlike("[A-Za-z]")}[kind]
-    edge = lambda c: (c == "") | c.rlike(r"^[^A-Za-z0-9]$")
-    free = edge(F.when(x["s"] > 0, F.substring(text, x["s"], 1)).otherwise("")) & edge(F.substring(text, x["e"] + 1, 1))
-    vote = lambda yes, no: F.when(yes, 2).when(no, 0).otherwise(1)
-    votes = (vote(valid, ~valid), vote(known, ~known), vote(cue, F.lit(False)), vote(shaped & ~dull, dull | ~shaped), vote(free, ~free))
+    cue = F.rlike(before, _by_kind(x, CUES))
+    dull = (n > 0) & (F.length(F.replace(d, F.substring(d, 1, 1), F.lit(""))) <= n * 0.3) | d.rlike("0123456789|123456789|987654321")
+    least, most = _by_kind(x, {"email": 6, "ip": 6, "card": 15, "phone": 10, "ssn": 9, "secret": 12}), _by_kind(x, {"email": 80, "ip": 15, "card": 16, "phone": 13, "ssn": 9, "secret": 140})
+    shaped = F.when(x["kind"].isin([KINDS.index("email"), KINDS.index("ip"), KINDS.index("secret")]), size).otherwise(n).between(least, most) & ~dull
+    around = F.concat(F.when(x["s"] > 0, F.substring(text, x["s"], 1)).otherwise(""), F.substring(text, x["e"] + 1, 1))
+    vote = lambda yes: F.when(yes, 2).otherwise(0)
     code = F.lit(0)
-    for v in votes:
+    for v in (vote(x["ok"]), vote(known), F.when(cue, 2).otherwise(1), vote(shaped), vote(~around.rlike("[A-Za-z0-9]"))):
         code = code * 3 + v
-    size = F.when(F.length(m) < 10, 0).when(F.length(m) < 16, 1).when(F.length(m) < 24, 2).otherwise(3)
-    return (code * 4 + size).cast("int")
+    return (code * 4 + F.when(size < 10, 0).when(size < 16, 1).when(size < 24, 2).otherwise(3)).cast("int")
 
 
 def find(rows: DataFrame, p: PiiParameters = PiiParameters()) -> DataFrame:
-    """rows: `row` (anything) and `text`.  row, base and more: spans with kind (index in KINDS), s, e, code of votes; more holds candidates clear of base spans."""
+    """rows: `row` (anything) and `text`.  row, base and more: spans with s, kind (index in KINDS), e, code of votes; more holds candidates clear of base spans."""
     t = F.col("text")
-    digit = t.rlike("[0-9]{3}")
     own = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    raw = own.select(
-        "*",
-        matches(t, EMAIL, F.instr(t, "@") > 0).alias("email"),
-        F.filter(matches(t, IP, t.rlike(r"[0-9]\.[0-9]")), lambda x: _is_ip(x["m"])).alias("ip"),
-        F.filter(matches(t, CARD, t.rlike(r"[0-9][0-9 -]{12,}[0-9]")), lambda x: F.length(_digits(x["m"])).between(13, 19)).alias("numbers"),
-        F.filter(matches(t, PHONE, t.rlike(r"\+[0-9]")), lambda x: _is_phone(x["m"])).alias("phone"),
-        matches(t, BRACKETED, t.rlike(r"[\[(](?:at|AT|@)[\])]")).alias("bracketed"),
-        matches(t, NATIONAL, digit & t.rlike(r"[0-9]{3}[ .-][0-9]{4}")).alias("national"),
-        matches(t, SSN, digit & t.rlike(r"[0-9]-[0-9]{2}-[0-9]")).alias("ssn"),
-        matches(t, SECRET, t.rlike(r"[A-Za-z0-9+/_-]{12}") & t.rlike(r"(?i)(?:token|secret|passw|key)\b ?[=:]")).alias("secret"),
-    )
-    named = lambda found, kind: F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), x["e"].alias("e"), _votes(kind, t, x, p).alias("code")))
-    is_card = lambda x: _is_card(x["m"])
-    base = F.array_sort(F.concat(named(F.col("email"), "email"), named(F.col("ip"), "ip"), named(F.filter("numbers", is_card), "card"), named(F.col("phone"), "phone")))
-    more = F.concat(named(F.col("bracketed"), "email"), named(F.filter("numbers", lambda x: ~is_card(x)), "card"), named(F.col("national"), "phone"), named(F.col("ssn"), "ssn"), named(F.col("secret"), "secret"))
-    both = raw.select("row", base.alias("base"), more.alias("more"))
-    clear = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return both.select("row", "base", F.array_sort(clear).alias("more"))
+    raw = own.select("*", *[matches(t, pattern, t.rlike(where)).alias(f"f{i}") for i, (_, pattern, where, _, _) in enumerate(PATTERNS)])
+
+    def checked(i: int) -> Column:
+        kind, _, _, check, base = PATTERNS[i]
+        with_digits = F.transform(f"f{i}", lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), x["e"].alias("e"), x["m"].alias("m"), _digits(x["m"]).alias("d")))
+        return F.transform(with_digits, lambda x: F.struct(*[x[c].alias(c) for c in ("s", "kind", "e", "m", "d")], check(x["m"], x["d"]).alias("ok"), F.lit(base).alias("base")))
+
+    every = raw.select("row", "text", F.concat(*[checked(i) for i in range(len(PATTERNS))]).alias("found"))
+    # Card-shaped numbers that fail their check are candidates; other failed base matches are dropped.
+    every = every.withColumn("found", F.filter("found", lambda x: x["ok"] | ~x["base"] | (x["kind"] == KINDS.index("card")) & F.length(x["d"]).between(13, 19)))
+    coded = every.select("row", F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), (x["ok"] & x["base"]).alias("base"), _votes(t, x, p).alias("code")))).alias("found"))
+    parted = coded.select("row", F.filter("found", lambda x: x["base"]).alias("base"), F.filter("found", lambda x: ~x["base"]).alias("more"))
+    return parted.select("row", "base", F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))).alias("more"))
 
 
 def em(kind: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
