@@ -275,24 +275,29 @@ def find(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        spans = batch.column(3)
         texts = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = text.encode()
-            at = [0, *(x for s in spans for x in (s["s"], s["e"])), len(raw)]
-            texts.append(b"".join(raw[at[i] : at[i + 1]] for i in range(0, len(at), 2)).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            own = spans[i].as_py()
+            if own:
+                raw = text.encode()
+                at = [0, *(x for s in own for x in (s["s"], s["e"])), len(raw)]
+                text = b"".join(raw[at[j] : at[j + 1]] for j in range(0, len(at), 2)).decode()
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["row", "text", "n_words"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents without the removal spans, with the input's columns; one of which nothing but white space is left goes."""
+    """Documents without the removal spans, with the input's columns; one of which no word is left goes."""
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    others = [F.col(f"`{c}`") for c in names if c != text_col]
+    rows = docs.select(F.struct(*others, F.lit(0).alias(text_col)).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    found = stored(find(rows.select(F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row"), "text"), benchmark), "hits")
-    hit = found.filter(F.size("spans") > 0)
-    cut = hit.select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, text string").filter(F.trim("text") != "")
-    fixed = cut.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names])
-    return found.filter(F.size("spans") == 0).select(*[F.col(f"row.`{c}`").alias(c) for c in names]).unionByName(fixed)
+    found = find(rows, benchmark)
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    kept = found.filter((hits == 0) | (hits < F.col("n_words")))
+    cut = kept.mapInArrow(_cut, f"row {kind}, text string, n_words long")
+    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

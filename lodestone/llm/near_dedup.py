@@ -251,6 +251,7 @@ def components(links: DataFrame) -> DataFrame:
         dropped(spark, labels)
         labels = new.select("node", "label")
         if not moved:
+            dropped(spark, edges)
             return labels
 
 
@@ -266,13 +267,14 @@ def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFra
     dropped(spark, placed)
     bloom = bloom_of(labels.select(F.xxhash64("node").alias("h")))
     vectors = stored(sketches.select("node", "vector").filter(_passes(bloom)(F.xxhash64("node"))).groupBy("node").agg(F.first("vector").alias("vector")), "vectors")
-    done, turn = None, 0
+    done, seen, turn = None, [], 0
     while True:
         alive = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("score", "node")).alias("top"))
         alive = alive.filter("c1 != c2").select("bucket", "n", F.col("top.node").alias("top"))
         leads = (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("n")) < (1 << turn) - 1)
         flagged = stored(members.join(alive, "bucket").select("bucket", "node", "comp", "score", leads.alias("lead")), "round")
         if flagged.limit(1).count() == 0:
+            dropped(spark, flagged, members, vectors, *seen)
             return labels.select("node", "comp")
         lead = flagged.filter("lead").select("bucket", F.col("node").alias("l"), F.col("comp").alias("lc"))
         met = flagged.join(lead, "bucket").filter((F.col("comp") != F.col("lc")) & (~F.col("lead") | (F.col("node") < F.col("l"))))
@@ -284,17 +286,22 @@ def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFra
         one = pairs.join(vectors.withColumnsRenamed({"node": "a", "vector": "va"}), "a")
         both = one.join(vectors.withColumnsRenamed({"node": "b", "vector": "vb"}), "b").select("a", "b", "ca", "cb", "va", "vb")
         checked = stored(both.mapInArrow(_verify(idf, p.similarity), "a binary, b binary, ca binary, cb binary, near boolean"), "checked")
+        seen.append(checked)
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         linked = checked.filter("near").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        found = None
         left = flagged.filter(~F.col("lead")).select("bucket", "node", "comp", "score")
         if linked.limit(1).count():
-            moved = components(linked).select(F.col("node").alias("comp"), "label")
+            found = components(linked)
+            moved = found.select(F.col("node").alias("comp"), "label")
             renamed = lambda t: t.join(moved, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
             old, labels = labels, stored(renamed(labels), "labels")
             dropped(spark, old)
             left = renamed(left)
         old, members = members, stored(left.select("bucket", "node", "comp", "score"), "buckets")
         dropped(spark, old, flagged)
+        if found is not None:
+            dropped(spark, found)
         turn += 1
 
 
@@ -308,7 +315,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p:
     labels = labelled(sketches, idf, p)
     members = sketches.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
     sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return members.join(sizes, "class").select("id", "class_id", "class_size")
+    out = stored(members.join(sizes, "class").select("id", "class_id", "class_size"), "classes")
+    dropped(docs.sparkSession, sketches, labels)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearParameters = NearParameters()) -> DataFrame:
