@@ -1,9 +1,12 @@
 """All queries of the engine by name, with their DuckDB oracles."""
 
+from .queries import ORACLES, QUERIES
+from .views import oracle
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: oracle(text) for name, text in ORACLES.items()}
