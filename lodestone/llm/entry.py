@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality": quality.query,
         "op5_warc": warc.query,
         "op6_near_dedup": near_dedup.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_pii": pii.query,
         "op10_line_dedup": line_dedup.query,
