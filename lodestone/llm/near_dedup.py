@@ -13,7 +13,7 @@ two texts of similar size share a scheme.  Samples are banded.
 Candidates are verified by the weighted Jaccard similarity of their vectors.
 A bucket is worked off in rounds.  In each, some members lead: the one in the
 largest buckets, likely the original of its copies, and from round to round
-twice as many others drawn by hash.  Leads are compared with the members that
+four times as many others drawn by hash.  Leads are compared with the members that
 are not yet of their component and leave the bucket; a bucket whose members are
 all of one component is done.  So copies of one original cost one comparison
 each, every pair of a bucket that is not connected otherwise is compared in the
@@ -255,6 +255,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Rounds after which components are joined at once; later rounds find few links and join them at the end.
+CONTRACTED = 2
+
+
 def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFrame:
     """node, comp: the component of each node that shares a bucket with another."""
     spark = sketches.sparkSession
@@ -267,15 +271,29 @@ def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFra
     dropped(spark, placed)
     bloom = bloom_of(labels.select(F.xxhash64("node").alias("h")))
     vectors = stored(sketches.select("node", "vector").filter(_passes(bloom)(F.xxhash64("node"))).groupBy("node").agg(F.first("vector").alias("vector")), "vectors")
-    done, seen, turn = None, [], 0
+    done, seen, late, turn = None, [], [], 0
+    known: dict[int, DataFrame] = {}
+
+    def joined(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+        """rows with comp renamed to the component that the links between components make."""
+        if id(found[0]) not in known:
+            every = found[0]
+            for x in found[1:]:
+                every = every.union(x)
+            known[id(found[0])] = components(every).select(F.col("node").alias("comp"), "label")
+        return rows.join(known[id(found[0])], "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+
     while True:
         alive = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("score", "node")).alias("top"))
         alive = alive.filter("c1 != c2").select("bucket", "n", F.col("top.node").alias("top"))
-        leads = (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("n")) < (1 << turn) - 1)
+        leads = (F.col("node") == F.col("top")) | (F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("n")) < (1 << 2 * turn) - 1)
         flagged = stored(members.join(alive, "bucket").select("bucket", "node", "comp", "score", leads.alias("lead")), "round")
         if flagged.limit(1).count() == 0:
+            if late:
+                labels = joined(labels, late)
+            labels = stored(labels.select("node", "comp"), "labels")
             dropped(spark, flagged, members, vectors, *seen)
-            return labels.select("node", "comp")
+            return labels
         lead = flagged.filter("lead").select("bucket", F.col("node").alias("l"), F.col("comp").alias("lc"))
         met = flagged.join(lead, "bucket").filter((F.col("comp") != F.col("lc")) & (~F.col("lead") | (F.col("node") < F.col("l"))))
         low = F.col("node") < F.col("l")
@@ -289,19 +307,14 @@ def labelled(sketches: DataFrame, idf: np.ndarray, p: NearParameters) -> DataFra
         seen.append(checked)
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         linked = checked.filter("near").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        found = None
         left = flagged.filter(~F.col("lead")).select("bucket", "node", "comp", "score")
-        if linked.limit(1).count():
-            found = components(linked)
-            moved = found.select(F.col("node").alias("comp"), "label")
-            renamed = lambda t: t.join(moved, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
-            old, labels = labels, stored(renamed(labels), "labels")
-            dropped(spark, old)
-            left = renamed(left)
+        if turn >= CONTRACTED:
+            late.append(linked)
+        elif linked.limit(1).count():
+            labels, left = joined(labels, [linked]), joined(left, [linked])
+            labels = stored(labels, "labels")
         old, members = members, stored(left.select("bucket", "node", "comp", "score"), "buckets")
         dropped(spark, old, flagged)
-        if found is not None:
-            dropped(spark, found)
         turn += 1
 
 
