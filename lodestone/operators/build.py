@@ -46,10 +46,14 @@ def stitch(lines: list) -> list:
     return [[{"lon": x, "lat": y} for x, y in r] for r in rings]
 
 
-@F.pandas_udf(RINGS)
-def rings(lines: pd.Series) -> pd.Series:
+def rings(lines: Column | str) -> Column:
     """Rings of each relation's member lines; a relation's members are one object, bounded by the data model."""
-    return lines.map(lambda x: stitch(x) if x is not None else None)
+
+    @F.pandas_udf(RINGS)
+    def udf(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: stitch(x) if x is not None else None)
+
+    return udf(lines)
 
 
 def relation_polygons(relations: DataFrame, lines: DataFrame, members: tuple[tuple[str, Column], ...]) -> DataFrame:

@@ -86,7 +86,7 @@ def tag_statistics(rows: DataFrame) -> DataFrame:
     """rows: class, tags.  A JSON line for each class: values of each tag with their counts."""
     counts = rows.select("class", F.explode("tags").alias("tag", "value")).groupBy("class", "tag", "value").count()
     by_tag = counts.groupBy("class", "tag").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "count")))).alias("values"), F.sum("count").alias("total"))
-    by_class = by_tag.groupBy("class").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", F.struct("total", "values"))))).alias("tags"))
+    by_class = by_tag.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("total", "values")))).alias("tags"))
     return by_class.select(F.to_json(F.struct(F.col("class").alias("name"), F.col("tags").alias("tags_info"))).alias("value"))
 
 
