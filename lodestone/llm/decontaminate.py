@@ -227,7 +227,7 @@ def _words(text: str, s: int, e: int) -> int:
     return len(word_bounds(np.array([0, len(data)]), data, WORD_BYTES)[0])
 
 
-def _pass(phrases: Phrases, more: bool):
+def _pass(phrases: Phrases, more: bool, cut: bool):
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,8 @@ def _pass(phrases: Phrases, more: bool):
                             spans[i] = [(s, e, _words(text, s, e) if w < 0 else w) for s, e, w in _merged(spans[i] + [(x["s"], x["e"], x["words"]) for x in old])]
                             names[i] = sorted({*names[i], *ids})
                 as_rows = [[{"s": s, "e": e, "words": w} for s, e, w in x] for x in spans]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words), pa.array(as_rows, span), pa.array(names, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
+                own = pa.array([_cut(t.as_py(), x) if x else t.as_py() for t, x in zip(part.column(1), spans, strict=True)], pa.string()) if cut and any(spans) else part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), own, pa.array(n_words), pa.array(as_rows, span), pa.array(names, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
 
     return run
 
@@ -262,42 +263,38 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
     yield Phrases(pd.DataFrame(block, columns=["item", "text"]))
 
 
-def find(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """rows: `row` (anything) and `text`.  Adds n_words, spans (byte ranges s to e with their hit words, ascending) and items (found, sorted as strings)."""
+def _cut(text: str, spans: list[tuple[int, int, int]]) -> str:
+    raw = text.encode()
+    at = [0, *(x for s, e, _ in spans for x in (s, e)), len(raw)]
+    return b"".join(raw[at[j] : at[j + 1]] for j in range(0, len(at), 2)).decode()
+
+
+def find(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """rows: `row` (anything) and `text`.  Adds n_words, spans (byte ranges s to e with their hit words, ascending) and items (found, sorted as strings).
+
+    With cut the text comes back without its spans, from the last pass.
+    """
     kind = rows.schema["row"].dataType.simpleString()
     out, more = rows.select("row", "text"), False
-    for phrases in benchmark_blocks(benchmark, item_col, text_col, block_bytes):
+    blocks = benchmark_blocks(benchmark, item_col, text_col, block_bytes)
+    phrases = next(blocks)
+    while phrases is not None:
+        ahead = next(blocks, None)
         out = stored(out, "pass") if more else out
-        out = out.mapInArrow(_pass(phrases, more), f"row {kind}, text string, n_words long, spans array<struct<s:long,e:long,words:long>>, items array<string>")
-        more = True
+        out = out.mapInArrow(_pass(phrases, more, cut and ahead is None), f"row {kind}, text string, n_words long, spans array<struct<s:long,e:long,words:long>>, items array<string>")
+        phrases, more = ahead, True
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column(3)
-        texts = []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            own = spans[i].as_py()
-            if own:
-                raw = text.encode()
-                at = [0, *(x for s in own for x in (s["s"], s["e"])), len(raw)]
-                text = b"".join(raw[at[j] : at[j + 1]] for j in range(0, len(at), 2)).decode()
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["row", "text", "n_words"])
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents without the removal spans, with the input's columns; one of which no word is left goes."""
     names = docs.columns
     others = [F.col(f"`{c}`") for c in names if c != text_col]
     rows = docs.select(F.struct(*others, F.lit(0).alias(text_col)).alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    found = find(rows, benchmark)
+    found = find(rows, benchmark, cut=True)
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     kept = found.filter((hits == 0) | (hits < F.col("n_words")))
-    cut = kept.mapInArrow(_cut, f"row {kind}, text string, n_words long")
-    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
