@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .textwork import WORD_BYTES, buffers, byte_codes, chunks, shingle_hashes, span_hashes, stored, word_bounds
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 8 << 20, 8 << 20, 16
+WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 8 << 20, 16
 _CODES = byte_codes(fold_case=True)
 
 
