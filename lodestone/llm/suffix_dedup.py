@@ -49,7 +49,7 @@ class SuffixParameters:
     length: int = 400
     gram: int = 64
     #: Bytes of a shard's text that are sorted at once, at least; pieces of one key stay together.
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 1 << 20
     #: Bytes of queued suffixes in memory.
     queue_bytes: int = 64 << 20
 
@@ -224,19 +224,26 @@ def suffix_order(t: np.ndarray, depth: int, bound: int) -> np.ndarray:
 
 
 def recurse(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the string of names.  Each name stands for one character at least, so ranks double until they differ or span the depth."""
-    n, step, rank = len(names), 1, names
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if step >= depth or len(np.unique(rank)) == n:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        both = rank * (n + 2) + after
-        order = np.argsort(both, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.append(0, np.cumsum(np.diff(both[order]) != 0))
+    """Order of the string of names.  Each name but the last stands for two characters at least; ranks double until they differ or span the depth, and only suffixes that still tie are sorted again."""
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    own = names[order]
+    new = np.append(True, own[1:] != own[:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ties = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(ties) and 2 * step < depth:
+        at = order[ties]
+        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        key = rank[at] * (n + 2) + after
+        sort = np.argsort(key)
+        at, key = at[sort], key[sort]
+        order[ties] = at
+        new = np.append(True, key[1:] != key[:-1])
+        rank[at] = ties[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        ties = ties[~(new & np.append(new[1:], True))]
         step *= 2
+    return order
 
 
 def repeated(texts: list[np.ndarray], length: int, bound: int) -> list[np.ndarray]:
