@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textwork import buffers, chunks, stored
+from .textwork import chunks, stored
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,6 @@ and sizes, so reruns agree.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textwork import NON_SPACE_BYTES, chunks, dropped, stored, word_counts
+from .textwork import NON_SPACE_BYTES, chunks, stored, word_counts
 
 WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2.0
 
