@@ -236,17 +236,22 @@ def bloom_of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+#: Edges that one task of the label propagation takes.
+EDGES_A_TASK = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, of the nodes with links (a, b)."""
     spark = links.sparkSession
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    few = edges.count() // EDGES_A_TASK + 1  # small graphs need few tasks
+    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(few), "labels")
     while True:
         # The least label among the neighbours, then the label of that label.
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        new = stored(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")).coalesce(few), "labels")
         moved = new.filter(F.col("label") != F.col("old")).limit(1).count()
         dropped(spark, labels)
         labels = new.select("node", "label")
