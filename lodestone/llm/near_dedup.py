@@ -5,10 +5,11 @@ inverse document frequency.  Document frequencies are counted over all texts in
 a count-min row of 2**20 counters: 4 MiB to broadcast, whatever the input.
 
 Signatures are improved consistent weighted samples.  Texts of `short` or more
-shingles deal their shingles into as many bins as there are samples and draw one
-sample in each bin (empty bins borrow from the next); shorter ones draw every
-sample from all their shingles, and texts near that size do both, so that any
-two texts of similar size share a scheme.  Samples are banded.
+shingles, repeats counted, deal each copy of a shingle on its own into as many
+bins as there are samples and draw one sample in each bin (empty bins borrow from
+the next), so that weight in repeats is spread over the bins as any other; shorter
+ones draw every sample from all their shingles, and texts near that size do both,
+so that any two similar texts share a scheme.  Samples are banded.
 
 Candidates are verified by the weighted Jaccard similarity of their vectors.
 A bucket is worked off in rounds.  In each, some members lead: the one in the
@@ -122,7 +123,9 @@ def signatures(keys: np.ndarray, idf: np.ndarray, p: NearParameters, rows: int)
     own, count = np.unique(keys, return_counts=True)
     text, sid = (own >> _U(32)).astype(np.int64), own & _U(0xFFFFFFFF)
     weight = count.astype(np.float32) * idf[(sid & _U(len(idf) - 1)).astype(np.int64)]
-    size = np.bincount(text, minlength=rows)
+    size = np.bincount(text, count, minlength=rows).astype(np.int64)
+    # Two similar texts of which one has fewer than `short` copies have at most so many, as weights are 1 to 1 + idf.
+    both = int(p.short * (1 + (1 + p.idf) * (1 / p.similarity - 1))) + 1
     out_text, out_hash = [], []
 
     def banded(which: np.ndarray, table: np.ndarray, scheme: int) -> None:
@@ -136,9 +139,12 @@ def signatures(keys: np.ndarray, idf: np.ndarray, p: NearParameters, rows: int)
 
     which = np.flatnonzero(size >= p.short)
     if len(which):
-        on = size[text] >= p.short
-        s, w = sid[on], weight[on]
-        row = np.searchsorted(which, text[on])
+        on = np.repeat(size[text] >= p.short, count)
+        copy = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        s = (keys & _U(0xFFFFFFFF))[on]
+        w = idf[(s & _U(len(idf) - 1)).astype(np.int64)]
+        row = np.searchsorted(which, (keys >> _U(32)).astype(np.int64)[on])
+        s = mix(s | copy[on].astype(_U) << _U(32))
         a, h = draws(s, w, p.samples)
         slot = row * p.samples + (mix(s + _U(77)) % _U(p.samples)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
@@ -154,11 +160,11 @@ def signatures(keys: np.ndarray, idf: np.ndarray, p: NearParameters, rows: int)
             far += 1
             table = np.where((table == 0) & (np.roll(drawn, -far, axis=1) != 0), mix(np.roll(drawn, -far, axis=1) + _U(far)) | _U(1), table)
         banded(which, table, 0)
-    which = np.flatnonzero((size > 0) & (size <= p.short * 5 // 4 + 1))
+    which = np.flatnonzero((size > 0) & (size <= both))
     if len(which):
-        on = (size[text] > 0) & (size[text] <= p.short * 5 // 4 + 1)
+        on = size[text] <= both
         s, w = sid[on], weight[on]
-        n = size[which]
+        n = np.bincount(text, minlength=rows)[which]
         first = np.cumsum(n) - n
         table = np.zeros((len(which), p.samples), _U)
         for k in range(p.samples):

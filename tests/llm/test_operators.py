@@ -188,6 +188,21 @@ def test_weighted_sampling_agrees_with_similarity():
     assert abs(np.mean(same) - 0.8) < 0.08 and p.similarity == 0.8 and len(idf)
 
 
+def test_bands_of_repeated_lines():
+    """Similar texts whose weight is in repeats share a bucket as others do; also beside the bound of short texts."""
+    p, rng = near_dedup.NearParameters(), np.random.default_rng(5)
+    idf = np.ones(1 << p.df_log2, np.float32)
+    for shared, repeats, own in ((10, 300, (200, 200)), (50, 60, (200, 200)), (3, 21, (0, 15)), (63, 1, (0, 15))):
+        rows = []
+        for i in range(200):
+            same = np.repeat(rng.integers(0, 1 << 32, shared, np.uint64), repeats)
+            for side, n in enumerate(own):
+                rows.append(np.sort(np.append(same, rng.integers(0, 1 << 32, n, np.uint64))) | np.uint64(2 * i + side << 32))
+        text, bands = near_dedup.signatures(np.concatenate(rows), idf, p, 400)
+        of = [set(bands[text == i].tolist()) for i in range(400)]
+        assert sum(not (a & b) for a, b in zip(of[::2], of[1::2], strict=True)) <= 2
+
+
 # --- 7 ---
 
 
