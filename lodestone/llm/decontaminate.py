@@ -13,13 +13,13 @@ The benchmark is a stated query set: it is read in blocks of at most
 `block_bytes` of text, one pass over the corpus for each, and only a block is
 ever sent to the executors.  Texts are never cut and never leave their row.
 
-Null texts have no words; an item without words has no phrase; null item ids
-are ignored; equal items both count.  Empty tables give no hits or no rows.
+Null texts have no words; an item without words has no phrase; items whose id is
+null hit as others and have no name; equal items both count, an id once a document.  Empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -123,7 +123,7 @@ class Phrases:
     """The distinct windows of a block of items as symbols, and the items of each."""
 
     def __init__(self, items: pd.DataFrame):
-        items = items[items["item"].notna() & items["text"].notna()]
+        items = items[items["text"].notna()]
         offsets, data = buffers(pa.array(items["text"].tolist(), pa.string()))
         offsets, data = offsets - (offsets[0] if len(offsets) else 0), data
         starts, ends = word_bounds(offsets, data, WORD_BYTES)
@@ -139,7 +139,7 @@ class Phrases:
         table = np.where(np.arange(WINDOW) < length[:, None], symbols[start[:, None] + np.arange(WINDOW)], 0).astype(np.int32)
         self.symbols, inverse = np.unique(table.reshape(-1, WINDOW), axis=0, return_inverse=True)
         self.lengths = (self.symbols > 0).sum(axis=1)
-        self.names = items["item"].astype(str).to_numpy(object)
+        self.names = np.array([None if pd.isna(x) else str(x) for x in items["item"]], object)
         pairs = np.unique(np.stack([inverse.reshape(-1), item]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
         self.items, self.items_at = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.lengths) + 1))
 
@@ -227,6 +227,11 @@ def _words(text: str, s: int, e: int) -> int:
     return len(word_bounds(np.array([0, len(data)]), data, WORD_BYTES)[0])
 
 
+def _distinct(names: Iterable[str | None]) -> list[str | None]:
+    """Each name once, ascending; null, of items without an id, is last."""
+    return sorted(set(names), key=lambda x: (x is None, x or ""))
+
+
 def _pass(phrases: Phrases, more: bool, cut: bool):
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("words", pa.int64())]))
 
@@ -237,13 +242,13 @@ def _pass(phrases: Phrases, more: bool, cut: bool):
                 part = batch.slice(lo, hi - lo)
                 n_words, spans, items = shard_hits(part.column(1), phrases)
                 spans = [[tuple(map(int, s)) for s in x] for x in spans]
-                names = [sorted(phrases.names[x]) for x in items]
+                names = [_distinct(phrases.names[x]) for x in items]
                 if more:
                     for i, (old, ids) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
                         if old:
                             text = part.column(1)[i].as_py()
                             spans[i] = [(s, e, _words(text, s, e) if w < 0 else w) for s, e, w in _merged(spans[i] + [(x["s"], x["e"], x["words"]) for x in old])]
-                            names[i] = sorted({*names[i], *ids})
+                            names[i] = _distinct([*names[i], *ids])
                 as_rows = [[{"s": s, "e": e, "words": w} for s, e, w in x] for x in spans]
                 own = pa.array([_cut(t.as_py(), x) if x else t.as_py() for t, x in zip(part.column(1), spans, strict=True)], pa.string()) if cut and any(spans) else part.column(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), own, pa.array(n_words), pa.array(as_rows, span), pa.array(names, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
@@ -270,7 +275,7 @@ def _cut(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
-    """rows: `row` (anything) and `text`.  Adds n_words, spans (byte ranges s to e with their hit words, ascending) and items (found, sorted as strings).
+    """rows: `row` (anything) and `text`.  Adds n_words, spans (byte ranges s to e with their hit words, ascending) and items (found, each once, sorted as strings, a null last for items without an id).
 
     With cut the text comes back without its spans, from the last pass.
     """

@@ -101,6 +101,19 @@ def test_decontaminate_edges(spark, edge, empty):
     assert sorted((r["row"][0] or -1, r["n_words"], r["items"]) for r in small.collect()) == got
 
 
+def test_decontaminate_null_and_repeated_items(spark, oracle, tmp_path):
+    """Items of no id hit and are cut as others, and an id counts once a document, in one block as in many."""
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "six; seven"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three"), (7, "one two"), (7, "four"), (None, "six"), (8, "four")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    oracle(decontaminate.query(spark, str(tmp_path)), decontaminate.SQL, str(tmp_path))
+    for block_bytes in (8, 1 << 20):
+        found = decontaminate.find(docs.select(F.struct("doc_id").alias("row"), "text"), bench, block_bytes=block_bytes)
+        assert {r["row"][0]: r["items"] for r in found.collect()} == {1: ["7", "8", None], 2: [None], 3: []}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, bench).collect()} == {1: " five", 2: "; seven", 3: "none"}
+
+
 # --- 3, 4 ---
 
 
