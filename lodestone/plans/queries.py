@@ -291,9 +291,10 @@ def q_drop_list(spark, d):
 
 @query("SELECT a.id, string_agg(r.r_name, ',' ORDER BY r.r_name) AS common FROM {addr_pts} a, {region} r GROUP BY a.id")
 def q_common_append(spark, d):
-    """Common objects (a short list given as a file) appended to every feature, as a literal array."""
-    names = sorted(r["r_name"] for r in frame(spark, d, "region").limit(1000).collect())
-    return frame(spark, d, "addr_pts").select("id", F.array_join(geo.lits(names), ",").alias("common"))
+    """Common objects (a list given as a file) appended to every feature, from a table of one row."""
+    common = F.when(F.count("r_name") > 0, F.array_join(F.array_sort(F.collect_list("r_name")), ",")).alias("common")
+    row = frame(spark, d, "region").agg(F.count(F.lit(1)).alias("n"), common).filter("n > 0")
+    return frame(spark, d, "addr_pts").crossJoin(F.broadcast(row)).select("id", "common")
 
 
 _CURVE = """WITH RECURSIVE h AS (SELECT id, x + 180000 AS x, y + 85000 AS y, 15 AS i, 0 AS s, CAST(0 AS BIGINT) AS pos FROM {addr_pts}

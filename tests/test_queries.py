@@ -10,6 +10,13 @@ def test_equals_oracle(spark, oracle, name):
     oracle(registry.queries()[name](spark, FOLDER), registry.oracle_sql()[name], FOLDER)
 
 
+@pytest.mark.parametrize("regions", [0, 1500])
+def test_common_append_takes_the_whole_list(spark, oracle, tmp_path, regions):
+    spark.createDataFrame([(i, f"R{i}" if i % 7 else None) for i in range(regions)], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.read.parquet(f"{FOLDER}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    oracle(registry.queries()["q_common_append"](spark, str(tmp_path)), registry.oracle_sql()["q_common_append"], str(tmp_path))
+
+
 def test_networks_against_union_find(spark):
     from lodestone.plans.views import frame
 
