@@ -11,9 +11,10 @@ A string of `length` bytes that starts at two places is removed at both.
 2. Sorting.  Of equal pieces one goes on, with their number.  Pieces are dealt
    to shards by key and each shard's suffixes are sorted by induction: suffixes
    get their types, the leftmost S-type substrings are sorted by induction and
-   named, the string of names is sorted by recursion (to the depth that matters)
-   and all suffixes are induced from it bucket by bucket.  The queues between
-   buckets go to disk beyond a bound.
+   named, the string of names is sorted by rank doubling (to the depth that
+   matters) and all suffixes are induced from it bucket by bucket.  The queues
+   between buckets go to disk beyond a bound; all else of a shard is in memory,
+   and the pieces of one key are one shard, however many differ.
 3. Neighbours in suffix order with a common prefix of `length` bytes, told by
    fingerprints of that prefix, are repeats, as are all starts of a piece that
    occurs twice.  Covered bytes are merged per text.
