@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import _passes
-from .near_dedup import bloom_of
-from .textwork import buffers, byte_codes, chunks, dropped, mix, powers, stored
+from .spread import split_by
+from .textwork import buffers, byte_codes, chunks, dropped, mix, powers, stored, widened
 
 _U = np.uint64
 _CODES = byte_codes(41)
@@ -325,13 +324,13 @@ def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = Suffi
     spark = docs.sparkSession
     own = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.length)
     every = stored(own.mapInArrow(_sketch(p), "node binary, key long, print long, s int, c int"), "pieces")
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("key").alias("h"))
-    near = stored(every.filter(_passes(bloom_of(twice))(F.xxhash64("key"))), "suspects")
-    dropped(spark, every)
+    twice = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("key").alias("h")), "keys")
+    near = stored(split_by(every, F.xxhash64("key"), twice, twice.count())[1], "suspects")
+    dropped(spark, every, twice)
     one = near.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "c")).alias("at"))
     wanted = one.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("key", "print", "n", F.col("at.s").alias("s"), F.col("at.c").alias("c"))).alias("wanted"))
     wanted = stored(wanted, "wanted")
-    texts = own.filter(_passes(bloom_of(wanted.select(F.xxhash64("node").alias("h"))))(F.xxhash64("node"))).groupBy("node").agg(F.first("text").alias("text"))
+    texts = split_by(own, F.xxhash64("node"), wanted.select(F.xxhash64("node")), wanted.count())[1].groupBy("node").agg(F.first("text").alias("text"))
     cut = texts.join(wanted, "node").select("text", "wanted").mapInArrow(_bytes(p), "key long, print long, n long, bytes binary")
     dealt = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     runs = stored(dealt.mapInArrow(_sort(p), "key long, print long, a int, b int"), "runs")
@@ -372,11 +371,10 @@ def remove_repeats(rows: DataFrame, p: SuffixParameters = SuffixParameters(), wi
     found = covered(rows.select("text"), "text", p)
     text = F.coalesce("text", F.lit(""))
     own = rows.select("row", text.alias("text"), F.unhex(F.md5(text)).alias("node"))
-    hit = _passes(bloom_of(found.select(F.xxhash64("node").alias("h"))))(F.xxhash64("node"))
-    flagged = own.withColumn("hit", hit)
-    cut = flagged.filter("hit").join(found, "node", "left").select("row", "text", "spans").mapInArrow(_remove(with_bytes), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rest, hit = split_by(own, F.xxhash64("node"), found.select(F.xxhash64("node")), found.count())
+    cut = hit.join(found, "node", "left").select("row", "text", "spans").mapInArrow(_remove(with_bytes), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     whole = F.col("text").cast("binary")
-    rest = flagged.filter("not hit").select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), (whole if with_bytes else F.lit(None).cast("binary")).alias("kept"))
+    rest = rest.select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), (whole if with_bytes else F.lit(None).cast("binary")).alias("kept"))
     return cut.unionByName(rest)
 
 

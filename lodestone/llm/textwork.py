@@ -140,9 +140,13 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder name under the one that the cluster shares (spark.checkpoint.dir).
 
-    Where that is unset, as in tests on one machine, a folder of that machine stands in for it.
+    Where that is unset, a session on one machine sets a folder of that machine; a cluster must name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lodestone"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints/lodestone"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -153,6 +157,12 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it has fewer partitions than there are, as a table of one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
