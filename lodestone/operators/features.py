@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import spatial
 
 TYPES = ("boundaries", "places", "highways", "addresses", "pois")
 
@@ -67,9 +70,9 @@ def associated_streets(relations: DataFrame) -> DataFrame:
 
 
 def junction_streets(junctions: DataFrame, streets: DataFrame) -> DataFrame:
-    """node and the references (id, tags) of the streets that meet there."""
+    """node and the references (way, tags as JSON) of the streets that meet there."""
     each = junctions.select("node", F.explode("ways").alias("way"))
-    return each.join(streets.select(F.col("id").alias("way"), "tags"), "way").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("way"))).alias("refers"))
+    return each.join(streets.select(F.col("id").alias("way"), "tags"), "way").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("way", F.to_json("tags").alias("tags")))).alias("refers"))
 
 
 def with_stored(shapes: DataFrame, stored: DataFrame) -> DataFrame:
@@ -101,3 +104,43 @@ def best_address(candidates: DataFrame, most: int = 10) -> DataFrame:
     kind = F.when(F.col("same_source"), 0).when(F.col("inside"), 1).when(F.col("same_building"), 2).when(shared, 3).otherwise(F.when(F.col("rn") == 1, 4))
     ranked = near.withColumn("kind", kind).filter("kind is not null").groupBy("poi").agg(F.min(F.struct("kind", "rn", "addr")).alias("b"))
     return ranked.select("poi", "b.addr", F.element_at(geo.lits(["sameSource", "contains", "shareBuildingWay", "nearestShareBuildingWay", "nearest"]), F.col("b.kind") + 1).alias("class"))
+
+
+def with_required(rows: DataFrame, boundaries: str, required: list[int]) -> DataFrame:
+    """Rows of which some joined boundary (an array of ids) is required."""
+    return rows.filter(F.arrays_overlap(boundaries, F.lit(required).cast("array<bigint>")))
+
+
+def append_common(rows: DataFrame, common: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows with `common`: the list of all common objects (structs), which comes from a file of a user; none if there are no objects.
+
+    The list goes to every row, so more than `most` objects are an error.
+    """
+    if common.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} common objects")
+    one = common.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("common")).filter(F.size("common") > 0)
+    return rows.crossJoin(F.broadcast(one))
+
+
+def absorbed_points(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """area and point of point objects strictly inside an area object (a box) of their class.  points: id, cls, x, y; areas: id, cls, box."""
+    boxes = areas.select(F.col("id").alias("area"), F.col("cls").alias("_cls"), "minx", "miny", "maxx", "maxy")
+    strict = (F.col("x") > F.col("minx")) & (F.col("x") < F.col("maxx")) & (F.col("y") > F.col("miny")) & (F.col("y") < F.col("maxy"))
+    hits = spatial.points_in_boxes(points.select("id", "cls", "x", "y"), boxes, size)
+    return hits.filter(strict & (F.col("cls") == F.col("_cls")) & (F.col("area") != F.col("id"))).select("area", F.col("id").alias("point"))
+
+
+def merge_pois(pois: DataFrame, hits: DataFrame) -> DataFrame:
+    """pois (id, x, y, cls, tags) without those that areas absorb; an area gets the tags of its points that it lacks, and moves to the last point's place."""
+    moved = hits.join(pois.select(F.col("id").alias("point"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("tags").alias("ptags")), "point")
+    entries = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("point", F.map_entries("ptags").alias("e")))), lambda s: s["e"]))
+    gained = moved.groupBy(F.col("area").alias("id")).agg(F.count(F.lit(1)).alias("absorbed"), F.max_by(F.struct("px", "py"), "point").alias("at"), F.map_from_entries(entries).alias("more"))
+    kept = pois.join(hits.select(F.col("point").alias("id")).distinct(), "id", "left_anti").join(gained, "id", "left")
+    tags = F.when(F.col("more").isNull(), F.col("tags")).otherwise(F.map_concat("more", "tags"))
+    return kept.select("id", F.coalesce("at.px", "x").alias("x"), F.coalesce("at.py", "y").alias("y"), "cls", tags.alias("tags"), F.coalesce("absorbed", F.lit(0)).cast("long").alias("absorbed"))
+
+
+def counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """Features by type: kind and n."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

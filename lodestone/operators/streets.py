@@ -44,23 +44,25 @@ def interpolate(nodes: DataFrame, way: str = "way", pos: str = "pos", number: st
     return at.select(way, pos, hn.alias("hn"), point("x0", "x1").alias("x"), point("y0", "y1").alias("y"), (F.col("i") == 0).alias("first"), (F.col("i") == F.col("steps")).alias("last"))
 
 
-def boundary_rows(boundaries: Column, inside: Column | None = None) -> Column:
-    """Rows of boundaries of a street from its boundaries (structs lvl, id, parent ids) sorted by level and id.
+def boundary_rows(boundaries: Column) -> Column:
+    """Rows of boundaries of a street from its boundaries (structs lvl, id and inside: ids of those that hold its centre), in order.
 
     One row grows until two boundaries have one level; then a copy with the last
-    replaced starts a row of its own, and higher boundaries join the rows whose
-    last boundary they hold.
+    replaced starts a row of its own.  Of several rows, those before the first
+    whose last has the level of the next boundary grow where that holds their
+    last's centre, and that first one is copied; without such a row all may grow.
     """
     kind = "array<array<struct<lvl:int,id:bigint,inside:array<bigint>>>>"
 
     def step(rows: Column, b: Column) -> Column:
         last = lambda r: F.element_at(r, -1)
         swapped = lambda r: F.concat(F.slice(r, 1, F.size(r) - 1), F.array(b))
+        same = lambda r: (last(r)["lvl"] > 0) & (last(r)["lvl"] == b["lvl"])
         one = F.get(rows, F.lit(0))
-        single = F.when((last(one)["lvl"] > 0) & (last(one)["lvl"] == b["lvl"]), F.array(one, swapped(one))).otherwise(F.array(F.concat(one, F.array(b))))
-        same = F.filter(rows, lambda r: last(r)["lvl"] == b["lvl"])
-        grown = F.transform(rows, lambda r: F.when(F.array_contains(last(r)["inside"], b["id"]), F.concat(r, F.array(b))).otherwise(r))
-        several = F.when(F.size(same) > 0, F.concat(rows, F.array(swapped(F.get(same, F.lit(0)))))).otherwise(grown)
+        single = F.when(same(one), F.array(one, swapped(one))).otherwise(F.array(F.concat(one, F.array(b))))
+        at = F.array_position(F.transform(rows, same), True)  # 1 for the first row, 0 for none
+        grown = F.transform(rows, lambda r, i: F.when(((at == 0) | (i + 1 < at)) & F.array_contains(last(r)["inside"], b["id"]), F.concat(r, F.array(b))).otherwise(r))
+        several = F.when(at > 0, F.concat(grown, F.array(swapped(F.get(rows, (at - 1).cast("int")))))).otherwise(grown)
         return F.when(F.size(rows) == 0, F.array(F.array(b))).when(F.size(rows) == 1, single).otherwise(several)
 
     return F.aggregate(boundaries, F.array().cast(kind), step)

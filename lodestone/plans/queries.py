@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import address, graph, spatial, streets, versions
+from ..operators import address, features, graph, places, spatial, streets, versions
+from ..sources import osm, sinks
 from .views import frame
 
 QUERIES: dict = {}
@@ -53,21 +54,16 @@ _layout("street_hn_city", "concat(a.street, ', ', CAST(a.hn AS STRING), ', ', b.
 _layout("city_street_hn", "concat(r.r_name, ', ', b.bname, ', ', a.street, ', ', CAST(a.hn AS STRING))")
 
 
-@query("""SELECT b.bid AS id, 4 AS lvl, r.rid AS ancestor, 1 AS distance FROM {nation_box} b JOIN (SELECT region AS rid, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM {nation_box} GROUP BY region) r
-ON b.minx >= r.minx AND b.maxx <= r.maxx AND b.miny >= r.miny AND b.maxy <= r.maxy
+@query("""SELECT b.bid AS id, 4 AS lvl, max(r.rid) AS ancestor, 1 AS distance FROM {nation_box} b JOIN (SELECT region AS rid, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM {nation_box} GROUP BY region) r
+ON b.minx >= r.minx AND b.maxx <= r.maxx AND b.miny >= r.miny AND b.maxy <= r.maxy GROUP BY b.bid
 UNION ALL SELECT b.bid, 4, -1, 2 FROM {nation_box} b UNION ALL SELECT DISTINCT region + 1000, 2, -1, 1 FROM {nation_box}""")
 def q_pip_hierarchy(spark, d):
     """Boundaries to the deepest boundary that covers them, and all ancestors up to the root (-1)."""
     low = frame(spark, d, "nation_box")
-    up = low.groupBy("region").agg(F.min("minx").alias("uminx"), F.min("miny").alias("uminy"), F.max("maxx").alias("umaxx"), F.max("maxy").alias("umaxy"))
-    covers = (F.col("minx") >= F.col("uminx")) & (F.col("maxx") <= F.col("umaxx")) & (F.col("miny") >= F.col("uminy")) & (F.col("maxy") <= F.col("umaxy"))
-    boxes = up.select(F.col("region").alias("uid"), F.col("uminx").alias("minx"), F.col("uminy").alias("miny"), F.col("umaxx").alias("maxx"), F.col("umaxy").alias("maxy"), "uminx", "uminy", "umaxx", "umaxy")
-    centre = low.select("bid", "minx", "miny", "maxx", "maxy", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
-    own = centre.withColumnsRenamed({"minx": "lx", "miny": "ly", "maxx": "hx", "maxy": "hy"})
-    covers = (F.col("lx") >= F.col("uminx")) & (F.col("hx") <= F.col("umaxx")) & (F.col("ly") >= F.col("uminy")) & (F.col("hy") <= F.col("umaxy"))
-    nations = spatial.points_in_boxes(own, boxes, CELL).filter(covers).select(F.col("bid").alias("id"), (F.col("uid") + 1000).alias("parent"), F.lit(4).alias("lvl"))
-    parents = nations.unionByName(up.select((F.col("region") + 1000).alias("id"), F.lit(-1).cast("long").alias("parent"), F.lit(2).alias("lvl")))
-    found = graph.closure(parents.select("id", "parent"), 3).join(parents.select("id", "lvl"), "id")
+    box = ("minx", "miny", "maxx", "maxy")
+    up = low.groupBy("region").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    boundaries = low.select(F.col("bid").alias("id"), F.lit(4).alias("lvl"), *box).unionByName(up.select((F.col("region") + 1000).alias("id"), F.lit(2).alias("lvl"), *box))
+    found = graph.closure(places.parents(boundaries, CELL).withColumn("parent", F.coalesce("parent", F.lit(-1))), 3).join(boundaries.select("id", "lvl"), "id")
     return found.select("id", "lvl", F.when(F.col("ancestor") >= 1000, F.col("ancestor") - 1000).otherwise(F.col("ancestor")).alias("ancestor"), "distance")
 
 
@@ -105,11 +101,11 @@ def q_poi_best_address(spark, d):
     """Best address of each POI among its ten nearest: same source, contained, else nearest."""
     met = spatial.boxes_meet_points(_poi_boxes(spark, d), frame(spark, d, "addr_pts").select("id", "x", "y"), 2_500, 5_000.0)
     met = met.withColumn("d2", (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-    ten = met.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "id"))).filter("rn <= 10")
     inside = (F.abs(F.col("x") - F.col("px")) <= F.col("size") * 20) & (F.abs(F.col("y") - F.col("py")) <= F.col("size") * 20)
-    kind = F.when(F.col("pid") == F.col("id"), 0).when(inside, 1).otherwise(2)
-    best = ten.groupBy("pid").agg(F.min(F.struct(kind.alias("kind"), "rn", "id", "d2")).alias("b"))
-    return best.select("pid", "b.id", "b.d2", F.element_at(geo.lits(["sameSource", "contains", "nearest"]), F.col("b.kind") + 1).alias("class"))
+    none = F.lit(None).cast("long")
+    candidates = met.select(F.col("pid").alias("poi"), F.col("id").alias("addr"), F.col("d2").alias("d"), (F.col("pid") == F.col("id")).alias("same_source"), F.lit(False).alias("same_building"), inside.alias("inside"), none.alias("addr_building"))
+    best = features.best_address(candidates)
+    return best.join(candidates.select("poi", "addr", "d"), ["poi", "addr"]).select(F.col("poi").alias("pid"), F.col("addr").alias("id"), F.col("d").alias("d2"), "class")
 
 
 @query("""SELECT s.way, a.id, round(d2, 3) AS d2 FROM (SELECT s.way, a.id, (a.x - (s.x1 + t * (s.x2 - s.x1))) * (a.x - (s.x1 + t * (s.x2 - s.x1))) + (a.y - (s.y1 + t * (s.y2 - s.y1))) * (a.y - (s.y1 + t * (s.y2 - s.y1))) AS d2 FROM (
@@ -155,16 +151,21 @@ def q_junctions(spark, d):
 @query("SELECT o.o_orderkey AS rel, l.way, a.id FROM {orders} o JOIN {segs} l ON l.way {div} 8 = o.o_orderkey JOIN {addr_pts} a ON a.id = o.o_custkey WHERE o.o_orderstatus = 'F'")
 def q_assoc_street(spark, d):
     """Addresses joined to the streets of the relation that names them."""
-    rel = frame(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("rel"), "o_custkey")
-    ways = frame(spark, d, "segs").select(F.expr("way div 8").alias("rel"), "way")
-    return rel.join(ways, "rel").join(frame(spark, d, "addr_pts").select("id"), F.col("id") == F.col("o_custkey")).select("rel", "way", "id")
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.alias("ref"), F.lit(role).alias("role"))
+    ways = frame(spark, d, "segs").groupBy(F.expr("way div 8").alias("id")).agg(F.collect_list(member("way", F.col("way"), "street")).alias("ways"))
+    rel = frame(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.array(member("node", F.col("o_custkey"), "house")).alias("houses"))
+    relations = rel.join(ways, "id").select("id", F.concat("ways", "houses").alias("members"), F.create_map(F.lit("type"), F.lit("associatedStreet")).alias("tags"))
+    found = features.associated_streets(relations)
+    points = frame(spark, d, "addr_pts").select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("building"))
+    return found.join(points, "building").select(F.col("relation").alias("rel"), "way", "id")
 
 
 @query("SELECT DISTINCT l.way, a.id FROM {segs} l JOIN {addr_pts} a ON a.id IN (l.a, l.b)")
 def q_building_link(spark, d):
     """Address nodes that are part of a building's contour."""
-    contour = frame(spark, d, "segs").select("way", F.explode(F.array("a", "b")).alias("id"))
-    return contour.join(frame(spark, d, "addr_pts").select("id"), "id").select("way", "id").distinct()
+    ways = frame(spark, d, "segs").select(F.col("way").alias("id"), F.array("a", "b", "a").alias("nodes"), F.create_map(F.lit("building"), F.lit("yes")).alias("tags"))
+    objects = frame(spark, d, "addr_pts").select(F.lit("n").alias("kind"), "id")
+    return features.building_links(ways, objects).select("way", F.col("node").alias("id"))
 
 
 @query()
@@ -182,15 +183,15 @@ def q_interpolation(spark, d):
     return streets.interpolate(nodes).select("way", "pos", "hn", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-_TAGS = "map_from_entries(filter(array(named_struct('key', 'addr:housenumber', 'value', CASE WHEN id % 6 = 1 THEN concat(hn, '/', hn + 1) ELSE cast(hn as string) END), named_struct('key', 'addr:street', 'value', street), named_struct('key', 'addr:housenumber2', 'value', CASE WHEN id % 6 = 2 THEN cast(hn + 2 as string) END), named_struct('key', 'addr:street2', 'value', CASE WHEN id % 6 IN (1, 3) THEN 'Side' END), named_struct('key', 'addr2:housenumber', 'value', CASE WHEN id % 6 = 4 THEN cast(hn + 4 as string) END), named_struct('key', 'addr:conscriptionnumber', 'value', CASE WHEN id % 6 = 5 THEN cast(hn + 9 as string) END)), x -> x.value IS NOT NULL))"
+_TAGS = "map_from_entries(filter(array(named_struct('key', 'addr:housenumber', 'value', CASE WHEN id % 6 = 1 THEN concat(hn, '/', hn + 1) ELSE cast(hn as string) END), named_struct('key', 'addr:street', 'value', street), named_struct('key', 'addr:housenumber2', 'value', CASE WHEN id % 6 = 2 THEN cast(hn + 2 as string) END), named_struct('key', 'addr:street2', 'value', CASE WHEN id % 6 IN (1, 3) THEN 'Side' END), " + "".join(f"named_struct('key', 'addr{n}:housenumber', 'value', CASE WHEN id % 6 = 4 THEN cast(hn + {n} as string) END), " for n in (*range(2, 13), 14)) + "named_struct('key', 'addr12:street', 'value', CASE WHEN id % 6 = 4 THEN 'Far' END), named_struct('key', 'addr:conscriptionnumber', 'value', CASE WHEN id % 6 = 5 THEN cast(hn + 9 as string) END)), x -> x.value IS NOT NULL))"
 
 
 @query("""SELECT id, 'regular' AS scheme, CAST(hn AS STRING) AS hn, street FROM {addr_pts} WHERE id % 6 = 0
 UNION ALL SELECT id, 'addr:street2.1', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 1 UNION ALL SELECT id, 'addr:street2.2', CAST(hn + 1 AS STRING), 'Side' FROM {addr_pts} WHERE id % 6 = 1
-UNION ALL SELECT id, 'addr:hn2.1', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 2 UNION ALL SELECT id, 'addr:hn2.2', CAST(hn + 2 AS STRING), street FROM {addr_pts} WHERE id % 6 = 2
+UNION ALL SELECT id, 'addr:hn2.1', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 2 UNION ALL SELECT id, 'addr:hn2.2', CAST(hn + 2 AS STRING), NULL FROM {addr_pts} WHERE id % 6 = 2
 UNION ALL SELECT id, '', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 3
-UNION ALL SELECT id, 'addrN.1', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 4 UNION ALL SELECT id, 'addrN.2', CAST(hn + 4 AS STRING), street FROM {addr_pts} WHERE id % 6 = 4
-UNION ALL SELECT id, 'conscriptionnumber', CAST(hn + 9 AS STRING), NULL FROM {addr_pts} WHERE id % 6 = 5""")
+UNION ALL SELECT id, 'addrN.1', CAST(hn AS STRING), street FROM {addr_pts} WHERE id % 6 = 4 UNION ALL SELECT id, concat('addrN.', CAST(n AS STRING)), CAST(hn + n AS STRING), CASE WHEN n = 12 THEN 'Far' END FROM {addr_pts}, (SELECT unnest(range(2, 13)) AS n) WHERE id % 6 = 4
+UNION ALL SELECT id, 'addr:conscriptionnumber', CAST(hn + 9 AS STRING), street FROM {addr_pts} WHERE id % 6 = 5""")
 def q_addr_schemes(spark, d):
     """Address schemes: one row for each address that the tags of an object hold."""
     tagged = frame(spark, d, "addr_pts").withColumn("tags", F.expr(_TAGS)).select("id", "tags")
@@ -225,7 +226,7 @@ def q_admin_levels(spark, d):
 def q_required_boundary(spark, d):
     """Only objects of which some joined boundary is required."""
     joined = _box_points(spark, d).groupBy("id").agg(F.collect_set("bid").alias("bids"))
-    return joined.filter(F.arrays_overlap("bids", F.array(*[F.lit(x).cast("long") for x in (3, 7, 11)]))).select("id")
+    return features.with_required(joined, "bids", [3, 7, 11]).select("id")
 
 
 @query("SELECT id, event_id, value FROM (SELECT concat(CAST(user_id AS STRING), '-', event_type) AS id, event_id, value, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM {events} WHERE event_type <> 'error') WHERE r = 1")
@@ -264,37 +265,38 @@ def q_diff_lines(spark, d):
 @query("SELECT DISTINCT concat('hghway-', CAST(o_custkey AS STRING)) AS id FROM {orders} WHERE o_orderstatus = 'O' UNION ALL SELECT concat('adrpnt-', CAST(o_orderkey AS STRING)) FROM {orders} WHERE o_orderstatus <> 'O'")
 def q_sort_unique(spark, d):
     """Unique sort: streets once for each row id, other features as they are."""
-    o = frame(spark, d, "orders")
-    ways = o.filter("o_orderstatus = 'O'").select(F.concat(F.lit("hghway-"), F.col("o_custkey").cast("string")).alias("id")).dropDuplicates(["id"])
-    return ways.unionByName(o.filter("o_orderstatus <> 'O'").select(F.concat(F.lit("adrpnt-"), F.col("o_orderkey").cast("string")).alias("id")))
+    way = F.col("o_orderstatus") == "O"
+    rows = frame(spark, d, "orders").select(F.when(way, F.concat(F.lit("hghway-"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("adrpnt-"), F.col("o_orderkey").cast("string"))).alias("id"), "o_orderkey")
+    return sinks.JsonSink().arranged(rows).select("id")
 
 
 @query("SELECT o_custkey AS id, min(o_orderkey) AS first FROM {orders} GROUP BY o_custkey ORDER BY id")
 def q_sort_id(spark, d):
     """Sorted by id, one row each."""
-    return frame(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("first")).orderBy("id")
+    rows = frame(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("first"))
+    return sinks.JsonSink("id").arranged(rows)
 
 
 @query("SELECT hhash, min(o_orderkey) AS first FROM (SELECT concat_ws('/', o_orderpriority, o_orderstatus, CAST(o_custkey AS STRING)) AS hhash, o_orderkey FROM {orders}) GROUP BY hhash ORDER BY hhash DESC")
 def q_sort_hierarchy(spark, d):
     """Sorted by hierarchy path, descending, one row each."""
     path = F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string"))
-    return frame(spark, d, "orders").groupBy(path.alias("hhash")).agg(F.min("o_orderkey").alias("first")).orderBy(F.desc("hhash"))
+    return sinks.JsonSink("hierarchy").arranged(frame(spark, d, "orders").select(path.alias("hhash"), F.col("o_orderkey").alias("first")))
 
 
 @query("SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P')")
 def q_drop_list(spark, d):
     """Elements whose id is not on the drop list."""
     o = frame(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id")).join(o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")), "id", "left_anti")
+    listed = o.filter("o_orderstatus = 'P'").select(F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("ref"))
+    return osm.drop_listed(o.select(F.col("o_orderkey").alias("id")), "w", listed)
 
 
 @query("SELECT a.id, string_agg(r.r_name, ',' ORDER BY r.r_name) AS common FROM {addr_pts} a, {region} r GROUP BY a.id")
 def q_common_append(spark, d):
     """Common objects (a list given as a file) appended to every feature, from a table of one row."""
-    common = F.when(F.count("r_name") > 0, F.array_join(F.array_sort(F.collect_list("r_name")), ",")).alias("common")
-    row = frame(spark, d, "region").agg(F.count(F.lit(1)).alias("n"), common).filter("n > 0")
-    return frame(spark, d, "addr_pts").crossJoin(F.broadcast(row)).select("id", "common")
+    out = features.append_common(frame(spark, d, "addr_pts").select("id"), frame(spark, d, "region").select("r_name"))
+    return out.select("id", F.array_join(F.transform("common", lambda x: x["r_name"]), ",").alias("common"))
 
 
 _CURVE = """WITH RECURSIVE h AS (SELECT id, x + 180000 AS x, y + 85000 AS y, 15 AS i, 0 AS s, CAST(0 AS BIGINT) AS pos FROM {addr_pts}
@@ -348,9 +350,11 @@ def q_antimeridian(spark, d):
 
 @query("SELECT event_type AS class, 'k' AS tag, json_extract_string(props, '$.k') AS value, count(*) AS n FROM {events} GROUP BY ALL")
 def q_tag_stats(spark, d):
-    """Counts of each tag's values by class."""
-    tags = frame(spark, d, "events").select(F.col("event_type").alias("class"), F.explode(F.from_json("props", "map<string,string>")).alias("tag", "value"))
-    return tags.groupBy("class", "tag", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of each tag's values by class, read back from the statistics' lines."""
+    lines = sinks.tag_statistics(frame(spark, d, "events").select(F.col("event_type").alias("class"), F.from_json("props", "map<string,string>").alias("tags")))
+    info = F.from_json("value", "name string, tags_info map<string,struct<total:bigint,values:map<string,bigint>>>")
+    by_tag = lines.select(info.alias("x")).select(F.col("x.name").alias("class"), F.explode("x.tags_info").alias("tag", "i"))
+    return by_tag.select("class", "tag", F.explode("i.values").alias("value", "n"))
 
 
 @query("SELECT count(*) AS n, CAST(CAST(sum(CAST(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS STRING) AS head, CAST(CAST(sum(CAST(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS STRING) AS tail FROM (SELECT md5(concat(CAST(o_orderkey AS STRING), '|', CAST(o_custkey AS STRING), '|', o_orderstatus)) AS h FROM {orders})")
@@ -374,8 +378,9 @@ def q_ewkt(spark, d):
 @query("SELECT DISTINCT concat_ws(chr(9), c_mktsegment, coalesce(CASE WHEN c_acctbal < 0 THEN NULL ELSE 'rich' END, c_name), CAST(c_nationkey AS STRING)) AS line FROM {customer}")
 def q_csv_coalesce(spark, d):
     """CSV columns, with groups of which the first present is taken; distinct lines."""
-    col = F.coalesce(F.when(F.col("c_acctbal") >= 0, "rich"), F.col("c_name"))
-    return frame(spark, d, "customer").select(F.concat_ws("\t", "c_mktsegment", col, F.col("c_nationkey").cast("string")).alias("line")).distinct().orderBy("line")
+    rows = frame(spark, d, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") >= 0, "rich").alias("rich"), "c_name", F.col("c_nationkey").cast("string").alias("nation"))
+    out = sinks.CsvSink(["c_mktsegment", ["rich", "c_name"], "nation"]).arranged(rows)
+    return out.select(F.concat_ws("\t", *out.columns).alias("line"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN lang = 'en' THEN 'en' ELSE '' END AS langs FROM {documents}")
@@ -406,19 +411,46 @@ def q_house_number(spark, d):
     return frame(spark, d, "pois").select("pid", geo.house_number(F.concat((F.col("pid") % 300).cast("string"), F.lit("A"))).alias("hn"))
 
 
-@query("SELECT a.id, p.rid AS place FROM {addr_pts} a JOIN {places} p ON a.street = concat('Street ', CAST(p.rid % 37 AS STRING)) AND abs(a.x - p.rx) <= 5000 AND abs(a.y - p.ry) <= 5000")
+@query("""SELECT a.id, min(p.rid) AS place FROM {addr_pts} a JOIN {places} p ON a.street = concat('Street ', CAST(p.rid % 37 AS STRING)) AND abs(a.x - p.rx) <= 5000 AND abs(a.y - p.ry) <= 5000 GROUP BY a.id""")
 def q_place_boundary_match(spark, d):
-    """Places and polygons around them of the same name."""
-    boxes = frame(spark, d, "places").select("rid", F.concat(F.lit("Street "), (F.col("rid") % 37).cast("string")).alias("pname"), *[(F.col(c) + s).alias(n) for c, s, n in (("rx", -5000, "minx"), ("rx", 5000, "maxx"), ("ry", -5000, "miny"), ("ry", 5000, "maxy"))])
-    return spatial.points_in_boxes(frame(spark, d, "addr_pts"), boxes, 10_000.0).filter("street = pname").select("id", F.col("rid").alias("place"))
+    """The first polygon around each place that bears its name."""
+    boxes = frame(spark, d, "places").select("rid", F.create_map(F.lit("name"), F.concat(F.lit("Street "), (F.col("rid") % 37).cast("string"))).alias("names"), *[(F.col(c) + s).alias(n) for c, s, n in (("rx", -5000, "minx"), ("rx", 5000, "maxx"), ("ry", -5000, "miny"), ("ry", 5000, "maxy"))])
+    hits = spatial.points_in_boxes(frame(spark, d, "addr_pts"), boxes, 10_000.0)
+    merged = places.merge_places(hits.select(F.col("id").alias("place"), F.col("street").alias("name"), F.col("rid").alias("polygon"), "names"))
+    return merged.select(F.col("place").alias("id"), F.col("polygon").alias("place"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'adrpnt' AS kind FROM {addr_pts} UNION ALL SELECT 'poipnt' FROM {pois} UNION ALL SELECT 'plcpnt' FROM {places} UNION ALL SELECT 'hghway' FROM {segs}) GROUP BY kind")
 def q_counters(spark, d):
     """Features by type."""
-    tables = {"adrpnt": "addr_pts", "poipnt": "pois", "plcpnt": "places", "hghway": "segs"}
-    out = None
-    for kind, name in tables.items():
-        one = frame(spark, d, name).select(F.lit(kind).alias("kind"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return features.counters({kind: frame(spark, d, name) for kind, name in {"adrpnt": "addr_pts", "poipnt": "pois", "plcpnt": "places", "hghway": "segs"}.items()})
+
+def _all_levels(order: str) -> None:
+    rank = address.ranks(order)
+    levels = sorted(rank) + ["boundary:9"]
+    values = ", ".join(f"({i}, {rank.get(x, -1)})" for i, x in enumerate(levels))
+    n = len(levels)
+
+    @query(f"""SELECT p.p_partkey AS id, string_agg(concat('N', CAST((p.p_partkey + k) % {n} AS STRING)), ', ' ORDER BY l.rank, k) AS text
+FROM {{part}} p, (SELECT unnest(range(0, {n})) AS k) ks, (SELECT * FROM (VALUES {values}) AS v(lvl, rank)) l
+WHERE l.lvl = (p.p_partkey + k) % {n} AND l.rank >= 0 AND (p.p_partkey + k) % 7 <> 0 GROUP BY p.p_partkey""")
+    def run(spark, d):
+        i = lambda k: (F.col("p_partkey") + k) % n
+        parts = F.array(*[F.struct(F.element_at(geo.lits(levels), (i(k) + 1).cast("int")).alias("lvl"), F.when((F.col("p_partkey") + k) % 7 != 0, F.concat(F.lit("N"), i(k).cast("string"))).otherwise(" ").alias("name")) for k in range(n)])
+        return frame(spark, d, "part").select(F.col("p_partkey").alias("id"), address.text(parts, order).alias("text"))
+
+    for table in (QUERIES, ORACLES):
+        table[f"q_addr_levels_{order}"] = table.pop("run")
+
+
+for _order in address.ORDERS:
+    _all_levels(_order)
+
+
+@query()
+def q_boundary_rows(spark, d):
+    """Rows of boundaries of each order, from its line items as boundaries; the tests compare them with a fold of their own."""
+    b = F.struct(F.col("l_linenumber").alias("lvl"), F.col("l_partkey").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: (F.col("l_partkey") + i * 5).cast("long")).alias("inside"))
+    own = frame(spark, d, "lineitem").withColumn("l_linenumber", F.expr("3 + l_linenumber % 3")).groupBy("l_orderkey").agg(F.sort_array(F.collect_set(b)).alias("bs"))
+    rows = streets.boundary_rows(F.col("bs"))
+    return own.select(F.col("l_orderkey").alias("id"), F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda x: x["id"].cast("string")), "-")), ",").alias("rows"))

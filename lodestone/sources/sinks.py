@@ -14,30 +14,52 @@ class Sink(Protocol):
     def write(self, rows: DataFrame, path: str) -> None: ...
 
 
+def _least(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the least of its rows, in column order (by JSON form where a map can't be compared)."""
+    whole = F.struct("*")
+    plain = "map<" not in rows.schema.simpleString()
+    least = F.min(whole) if plain else F.min_by(whole, F.to_json(whole))
+    return rows.groupBy(F.col(key).alias("_key")).agg(least.alias("_row")).select("_row.*")
+
+
 class JsonSink:
-    """A record a line, compressed; sort: none, id or hierarchy (by hhash, descending), with inverse order."""
+    """A record a line, compressed.
+
+    sort: unique (streets once for each id, all else as it is; the default), none,
+    id or hierarchy (by hhash, descending), the last two with inverse order.
+    """
 
-    def __init__(self, sort: str = "none", inverse: bool = False, compression: str = "gzip"):
+    def __init__(self, sort: str = "unique", inverse: bool = False, compression: str = "gzip"):
         self.sort, self.inverse, self.compression = sort, inverse, compression
 
-    def write(self, rows: DataFrame, path: str) -> None:
+    def arranged(self, rows: DataFrame) -> DataFrame:
+        if self.sort == "unique":
+            street = F.col("id").startswith("hghway")
+            return _least(rows.filter(street), "id").unionByName(rows.filter(~F.coalesce(street, F.lit(False))))
         key = {"id": "id", "hierarchy": "hhash"}.get(self.sort)
-        if key:
-            down = self.inverse if key == "id" else not self.inverse
-            rows = rows.dropDuplicates([key]).orderBy(F.desc(key) if down else F.asc(key))
-        rows.write.json(path, compression=self.compression)
+        if not key:
+            return rows
+        down = self.inverse if key == "id" else not self.inverse
+        return _least(rows, key).orderBy(F.desc(key) if down else F.asc(key))
+
+    def write(self, rows: DataFrame, path: str) -> None:
+        self.arranged(rows).write.json(path, compression=self.compression)
 
 
 class CsvSink:
-    """Tab-separated columns; a list is a group of which the first present value counts.  Lines are distinct and sorted."""
+    """Tab-separated columns of rows of the given feature types; a list is a group of which the first present value counts.  Lines are distinct and sorted by uid, else whole."""
 
-    def __init__(self, columns: list, header: bool = False):
-        self.columns, self.header = columns, header
+    def __init__(self, columns: list, header: bool = False, types: list[str] | None = None):
+        self.columns, self.header, self.types = columns, header, types
 
-    def write(self, rows: DataFrame, path: str) -> None:
+    def arranged(self, rows: DataFrame) -> DataFrame:
+        own = rows.filter(F.col("ftype").isin(self.types)) if self.types else rows
         cols = [F.coalesce(*c).alias(c[0]) if isinstance(c, (list, tuple)) else F.col(c) for c in self.columns]
-        out = rows.select(*cols).distinct()
-        out.orderBy("uid" if "uid" in out.columns else out.columns[0]).write.csv(path, sep="\t", header=self.header)
+        out = own.select(*cols).distinct()
+        return out.orderBy(*(["uid"] if "uid" in out.columns else out.columns))
+
+    def write(self, rows: DataFrame, path: str) -> None:
+        self.arranged(rows).write.csv(path, sep="\t", header=self.header)
 
 
 class TextSink:

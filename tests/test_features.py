@@ -33,7 +33,7 @@ def test_points_links_and_streets(spark):
     streets = spark.createDataFrame([(3, [("way", 5, "street"), ("way", 6, "house"), ("node", 7, None)], {"type": "associatedStreet"})], "id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>")
     assert {tuple(r) for r in features.associated_streets(streets).collect()} == {(3, 5, "w6"), (3, 5, "n7")}
     junctions = spark.createDataFrame([(1, [5, 6])], "node long, ways array<long>")
-    assert features.junction_streets(junctions, lines).first()["refers"] == [(5,)]
+    assert [r["way"] for r in features.junction_streets(junctions, lines).first()["refers"]] == [5]
 
 
 def test_stored_and_merged(spark):
