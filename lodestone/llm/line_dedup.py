@@ -1,15 +1,17 @@
 """Repeated lines, found as overlapping windows of three consecutive lines.
 
 Every window is hashed to 128 bits; windows that occur more than once in the
-whole corpus keep their first occurrence (smallest doc_id, then position), and
-every later one covers its three lines.  Covered lines are merged into spans
+whole corpus keep their first occurrence (smallest doc_id, then the hash of the
+text, then position), and every later one covers its three lines.  Covered lines are merged into spans
 and removed.  Windows that overlap or adjoin make one span.  A span judged on
 the input stays judged so: a first occurrence is kept even if other windows
 cover part of it.
 
 A text of fewer than three lines has no window; null texts count as empty.
 Null ids count as the earliest.  Rows equal in id and text are one document:
-neither is later than the other.  Empty input gives no rows.
+neither is later than the other; of texts that share an id one is later.
+Columns of any name pass through.  Rows that lose nothing are not shuffled.
+Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textwork import stored
+from .spread import split_by
+from .textwork import dropped, stored
 
 WIDTH = 3
 
@@ -35,21 +38,26 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row and spans (array of first and last covered line from 0, merged, ascending) of each text that loses lines."""
+    """id, row and spans (array of first and last covered line from 0, merged, ascending) of each text that loses lines; stored."""
     every = stored(windows(docs, id_col, text_col), "windows")
-    first = every.groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = every.join(first, ["a", "b"]).filter(~F.struct("id", "pos").eqNullSafe(F.col("first"))).select("id", "row", "pos").distinct()
+    place = F.struct("id", "row", "pos")
+    first = every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = every.join(first, ["a", "b"]).filter(~place.eqNullSafe(F.col("first"))).select("id", "row", "pos").distinct()
     order = Window.partitionBy("id", "row").orderBy("pos")
     new = later.withColumn("new", F.coalesce((F.col("pos") > F.lag("pos").over(order) + WIDTH).cast("int"), F.lit(1)))
     run = new.withColumn("run", F.sum("new").over(order)).groupBy("id", "row", "run").agg(F.min("pos").alias("s"), (F.max("pos") + (WIDTH - 1)).alias("e"))
-    return run.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    out = stored(run.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    dropped(docs.sparkSession, every)
+    return out
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `row_in` (all input columns), n_lines, spans, kept_text."""
     found = spans(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "spans")
     rows = docs.select(F.struct("*").alias("row_in"), F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_r"))
-    joined = rows.join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")), "left")
+    clear, suspects = split_by(rows, F.xxhash64("_i", "_r"), found.select(F.xxhash64("_id", "_row")), found.count())
+    joined = suspects.join(found.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")), "left")
+    joined = joined.select("row_in", "spans").unionByName(clear.select("row_in", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans")))
     none = F.array().cast("array<struct<s:int,e:int>>")
     joined = joined.select("row_in", F.coalesce("spans", none).alias("spans"), _lines(F.col("row_in")[text_col]).alias("_l"))
     gap_from = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["e"] + 1))

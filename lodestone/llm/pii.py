@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of
 their patterns that pass their checks.  Looser candidates (bracketed e-mail
 addresses, national phone numbers, card-shaped numbers, social security
 numbers, secrets) and the base spans are voted on by labelers: the pattern's
-validator, a gazetteer, the words before, the shape of the value and what
+validator, lists of known values, the words before, the shape of the value and what
 stands around it.  Expectation maximisation over the counts of vote patterns of
 the whole corpus estimates each labeler's reliability, and the posteriors train
 the final span classifier, a logistic model of kind, votes and length.  Its
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .textwork import stored
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret")
-LABELERS = ("validator", "gazetteer", "context", "shape", "edges")
+LABELERS = ("validator", "known", "context", "shape", "edges")
 
 #: A mail address can only start where its first part does, or where the last match ended.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -53,7 +53,7 @@ CUES = {
     "secret": r"(?i)\b(?:login|config|export|bearer|auth)\b",
 }
 #: Values a kind is known by: top-level domains, network and issuer prefixes, area codes.
-GAZETTEER = {
+KNOWN = {
     "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
     "ip": r"^(?:10|127|172|192|[1-9][0-9]?|1[0-9][0-9]|2[0-2][0-9])\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)",
@@ -111,7 +111,7 @@ def _votes(text: Column, x: Column, p: PiiParameters) -> Column:
     """Votes 0 (against), 1 (silent), 2 (for) of the labelers as a base-3 number, times 4 the value's length class."""
     m, d = x["m"], x["d"]
     n, size = F.length(d), F.length(m)
-    known = F.rlike(F.when(x["kind"] == KINDS.index("card"), d).otherwise(m), _by_kind(x, GAZETTEER))
+    known = F.rlike(F.when(x["kind"] == KINDS.index("card"), d).otherwise(m), _by_kind(x, KNOWN))
     before = F.substring(text, F.greatest(x["s"] - p.before + 1, F.lit(1)), F.least(x["s"], F.lit(p.before)))
     cue = F.rlike(before, _by_kind(x, CUES))
     dull = (n > 0) & (F.length(F.replace(d, F.substring(d, 1, 1), F.lit(""))) <= n * 0.3) | d.rlike("0123456789|123456789|987654321")

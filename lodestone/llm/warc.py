@@ -1,6 +1,6 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Writing: equal payloads (of at least `min_bytes`) share one response, that of
+Writing: equal payloads (by SHA-256, of at least `min_bytes`) share one response, that of
 the smallest page_id; the others become revisit records of the identical-payload
 kind, whose HTTP headers state the payload's length and which refer to the
 response.  Every record is a gzip member of its own.  Each task writes archives
@@ -35,9 +35,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textwork import shared_folder, stored
+from .spread import spread_join
+from .textwork import dropped, shared_folder, stored
 
-FILE_BYTES, SLOT, GAP, LEVEL = 64 << 20, 4 << 20, 64 << 10, 4
+FILE_BYTES, SLOT, TASK, GAP, LEVEL = 64 << 20, 1 << 20, 4 << 20, 64 << 10, 4
 _INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
 
 
@@ -113,14 +114,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = shared_folder(spark, "warc")
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(F.coalesce(html_col, F.lit(""))).alias("sha"), F.octet_length(F.coalesce(html_col, F.lit(""))).alias("size"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(F.coalesce(html_col, F.lit("")), 256).alias("sha"), F.octet_length(F.coalesce(html_col, F.lit(""))).alias("size"))
     # Only payloads that occur twice or more make a row here; null ids come last.
     known = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    twice = rows.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    joined = rows.drop("size").join(stored(twice, "payloads"), "sha", "left")
+    twice = rows.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first", "n")
+    payloads = stored(twice, "payloads")
+    joined = spread_join(rows, payloads, "sha", "n", payloads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "left")
     dup = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     index = joined.select("page_id", "url", "html", dup.alias("dup"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")).mapInArrow(_writer(folder), _INDEX)
-    return folder, stored(index, "index")
+    index = stored(index, "index")
+    dropped(spark, payloads)
+    return folder, index
 
 
 def _reader(folder: str, with_payload: bool):
@@ -152,8 +156,9 @@ def ranges(wanted: list[tuple[int, int]], gap: int = GAP) -> Iterator[tuple[int,
 
 
 def read_records(folder: str, selected: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the selected index rows."""
-    slots = selected.groupBy("file", F.expr(f"offset div {SLOT}").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("wanted")).select("file", "wanted")
+    """The records of the selected index rows; a task has `TASK` bytes of archives or a slot."""
+    tasks = (selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // TASK + 1
+    slots = selected.groupBy("file", F.expr(f"offset div {SLOT}").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("wanted")).select("file", "wanted").repartition(int(tasks))
     return slots.mapInArrow(_reader(folder, with_payload), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 

@@ -334,3 +334,10 @@ def test_line_dedup_edges(spark, edge, empty):
     got = {(str(r["row_in"]["doc_id"]), r["kept_text"]) for r in line_dedup.remove_lines(edge).filter("row_in.doc_id in (1, 2)").collect()}
     assert got == {("1", "Same text here\nb\nc\nd"), ("2", "")}
     assert line_dedup.remove_lines(edge).count() == len(EDGE) and line_dedup.remove_lines(empty).count() == 0
+
+
+def test_line_dedup_of_equal_ids(spark):
+    """Two texts of one id: a window that both hold stays in one of them."""
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (1, "a\nb\nc\ne")], "doc_id long, text string")
+    kept = sorted(r["kept_text"] for r in line_dedup.remove_lines(docs).collect())
+    assert kept in (["a\nb\nc\nd", "e"], ["a\nb\nc\ne", "d"])
