@@ -38,10 +38,12 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-BRACKETED = r"[A-Za-z0-9._%+-]{1,64}\s?[\[(](?:at|AT|@)[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(](?:dot|DOT|\.)[\])])\s?[A-Za-z0-9-]{2,63}){1,4}"
+BRACKETED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[(](?:at|AT|@)[\])]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[(](?:dot|DOT|\.)[\])])\s?[A-Za-z0-9-]{2,}+)++"
 NATIONAL = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-SECRET = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b ?[=:] ?\"?[A-Za-z0-9+/_-]{12,128}"
+SECRET = r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b ?[=:] ?\"?[A-Za-z0-9+/_-]{12,}+"
+#: Keys that are told by their own form: access keys and tokens with a provider's prefix, signed web tokens.
+KEYED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])"
 
 #: Words that speak for a kind when they stand shortly before it.
 CUES = {
@@ -59,7 +61,7 @@ KNOWN = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)",
     "phone": r"^\+?(?:1|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|^\(?[2-9][0-9]{2}",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "secret": r"[0-9a-f]{24,}|(?i)(?:sk|ghp|akia)",
+    "secret": r"[0-9a-f]{16,}|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ",
 }
 
 
@@ -99,7 +101,8 @@ PATTERNS = (
     ("email", BRACKETED, r"[\[(](?:at|AT|@)[\])]", lambda m, d: F.lit(True), False),
     ("phone", NATIONAL, r"[0-9]{3}[ .-][0-9]{4}", lambda m, d: F.lit(True), False),
     ("ssn", SSN, r"[0-9]-[0-9]{2}-[0-9]", lambda m, d: F.lit(True), False),
-    ("secret", SECRET, r"(?i)(?:token|secret|passw|key)\b ?[=:]", lambda m, d: F.length(m) >= 24, False),
+    ("secret", SECRET, r"(?i)(?:token|secret|password|passwd|api[_-]?key)\b ?[=:]", lambda m, d: m.rlike("[0-9]"), False),
+    ("secret", KEYED, "AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ", lambda m, d: F.lit(True), False),
 )
 
 
@@ -115,7 +118,7 @@ def _votes(text: Column, x: Column, p: PiiParameters) -> Column:
     before = F.substring(text, F.greatest(x["s"] - p.before + 1, F.lit(1)), F.least(x["s"], F.lit(p.before)))
     cue = F.rlike(before, _by_kind(x, CUES))
     dull = (n > 0) & (F.length(F.replace(d, F.substring(d, 1, 1), F.lit(""))) <= n * 0.3) | d.rlike("0123456789|123456789|987654321")
-    least, most = _by_kind(x, {"email": 6, "ip": 6, "card": 15, "phone": 10, "ssn": 9, "secret": 12}), _by_kind(x, {"email": 80, "ip": 15, "card": 16, "phone": 13, "ssn": 9, "secret": 140})
+    least, most = _by_kind(x, {"email": 6, "ip": 6, "card": 15, "phone": 10, "ssn": 9, "secret": 12}), _by_kind(x, {"email": 80, "ip": 15, "card": 16, "phone": 13, "ssn": 9, "secret": 4096})
     shaped = F.when(x["kind"].isin([KINDS.index("email"), KINDS.index("ip"), KINDS.index("secret")]), size).otherwise(n).between(least, most) & ~dull
     around = F.concat(F.when(x["s"] > 0, F.substring(text, x["s"], 1)).otherwise(""), F.substring(text, x["e"] + 1, 1))
     vote = lambda yes: F.when(yes, 2).otherwise(0)
@@ -231,4 +234,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = detect(docs.select(F.struct("doc_id").alias("row"), "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("row.doc_id", *[count(k) for k in KINDS[:4]], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("row.doc_id", *[count(k) for k in KINDS[:4]], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
