@@ -2,22 +2,27 @@
 
 A string of `length` bytes that starts at two places is removed at both.
 
-1. Sharding.  Each window of `length` bytes picks the least hash of its k-grams
+1. Sharding.  Each window of `least` bytes picks the least hash of its k-grams
    as its anchor, and the starts that share an anchor (split in two by their
-   distance from it) are a piece.  All strings of a piece share a core of bytes,
-   whose hash is the piece's key.  Equal strings pick the same anchor, so they
-   are in pieces of one key; a piece whose key occurs once (a Bloom filter of
-   fixed size tells most of them) holds no repeated string.
+   distance from it) are a piece, whose bytes go on for `length` from its last
+   start.  All windows of a piece share a core of bytes, whose hash is the
+   piece's key.  Equal strings pick the same anchor, so they are in pieces of one
+   key; a piece whose key occurs once (a Bloom filter tells most of them) holds
+   no repeated string.
 2. Sorting.  Of equal pieces one goes on, with their number.  Pieces are dealt
    to shards by key and each shard's suffixes are sorted by induction: suffixes
    get their types, the leftmost S-type substrings are sorted by induction and
    named, the string of names is sorted by rank doubling (to the depth that
    matters) and all suffixes are induced from it bucket by bucket.  The queues
-   between buckets go to disk beyond a bound; all else of a shard is in memory,
-   and the pieces of one key are one shard, however many differ.
+   between buckets go to disk beyond a bound; all else of a shard is in memory.
+   A key whose differing pieces exceed `key_bytes` is no shard: its strings are
+   compared by fingerprints, start by start, in an aggregation that spreads them
+   over all tasks.  So no task sorts more than `shard_bytes` and `key_bytes`.
 3. Neighbours in suffix order with a common prefix of `length` bytes, told by
    fingerprints of that prefix, are repeats, as are all starts of a piece that
-   occurs twice.  Covered bytes are merged per text.
+   occurs twice.  Covered bytes are merged per text.  The same order tells
+   strings of `least` bytes that start elsewhere, such as passages too short to
+   be removed; their bytes are counted only.
 
 Texts are whole; null ones are empty; equal rows count as repeats of each
 other.  Bytes are those of UTF-8, so a cut can split a character: what is kept
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import split_by
+from .spread import bloom_of, passes, split_by, spread_join
 from .textwork import buffers, byte_codes, chunks, dropped, mix, powers, stored, widened
 
 _U = np.uint64
@@ -47,12 +52,24 @@ _LOW = (1 << 24) - 1
 @dataclass(frozen=True)
 class SuffixParameters:
     length: int = 400
+    #: Repeats of this length are counted (n_shared); never above `length`.
+    least: int = 256
     gram: int = 64
     #: Bytes of a shard's text that are sorted at once, at least; pieces of one key stay together.
     shard_bytes: int = 1 << 20
+    #: Differing pieces of one key that are sorted together, at most.
+    key_bytes: int = 2 << 20
     #: Bytes of queued suffixes in memory.
     queue_bytes: int = 64 << 20
 
+    @property
+    def short(self) -> int:
+        return min(self.least, self.length)
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return tuple(sorted({self.length, self.short}))
+
 
 def _span(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts])
@@ -60,12 +77,12 @@ def _span(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndar
 
 def pieces(offsets: np.ndarray, data: np.ndarray, p: SuffixParameters) -> tuple[np.ndarray, ...]:
     """text, key, print (of the piece's bytes), first start and number of starts of all pieces of the texts."""
-    w, out = p.length - p.gram + 1, []
+    w, out = p.short - p.gram + 1, []
     half = -(-w // 2)
     step = 1 << 22
-    for base in range(0, max(0, len(data) - p.length + 1), step):  # one turn, but for very long texts
+    for base in range(0, max(0, len(data) - p.short + 1), step):  # one turn, but for very long texts
         part = data[base : base + step + p.length - 1]
-        n = len(part) - p.length + 1
+        n = min(step, len(part) - p.short + 1)
         up, down = powers(len(part) + 1)
         total = np.zeros(len(part) + 1, _U)
         np.cumsum(_CODES[part] * up[: len(part)], out=total[1:])
@@ -80,7 +97,7 @@ def pieces(offsets: np.ndarray, data: np.ndarray, p: SuffixParameters) -> tuple[
         anchor = _LOW - (least & _U(_LOW)).astype(np.int64)
         start = np.arange(n)
         text = np.searchsorted(offsets, start + base, "right") - 1
-        ok = start + base + p.length <= offsets[text + 1]
+        ok = start + base + p.short <= offsets[text + 1]
         start, anchor, text = start[ok], anchor[ok], text[ok]
         if not len(start):
             continue
@@ -90,8 +107,9 @@ def pieces(offsets: np.ndarray, data: np.ndarray, p: SuffixParameters) -> tuple[
         count = np.diff(np.append(first, len(start)))
         a, s, q = start[first], anchor[first], side[first]
         core = s - half * q
-        key = _span(total, core, core - half + 1 + p.length, down) + q.astype(_U)
-        prints = _span(total, a, a + count - 1 + p.length, down) + count.astype(_U)
+        key = _span(total, core, core - half + 1 + p.short, down) + q.astype(_U)
+        stop = np.minimum(a + count - 1 + p.length, offsets[text[first] + 1] - base)
+        prints = _span(total, a, stop, down) + count.astype(_U)
         out.append((text[first], key, prints, a + base - offsets[text[first]], count))
     if not out:
         return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -246,8 +264,8 @@ def recurse(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def repeated(texts: list[np.ndarray], length: int, bound: int) -> list[np.ndarray]:
-    """For each byte string, which of its starts begin a string of `length` bytes that starts elsewhere in them too."""
+def repeated(texts: list[np.ndarray], counts: list[int], lengths: tuple[int, ...], bound: int) -> list[list[np.ndarray]]:
+    """For each length and byte string, which of its first starts (as many as counts) begin a string of that length that starts elsewhere in them too."""
     size = np.array([len(x) for x in texts])
     first = np.cumsum(size + 1) - size - 1
     t = np.ones(int(size.sum()) + len(texts) + 1, np.int16)  # 1 parts the strings, 0 ends them all
@@ -257,52 +275,79 @@ def repeated(texts: list[np.ndarray], length: int, bound: int) -> list[np.ndarra
     up, down = powers(len(t) + 1)
     total = np.zeros(len(t) + 1, _U)
     np.cumsum(mix(np.arange(258, dtype=_U) + _U(1))[t] * up[: len(t)], out=total[1:])
-    valid = np.zeros(len(t), bool)
-    for a, k in zip(first, size, strict=True):
-        valid[a : a + max(0, k - length + 1)] = True
-    order = suffix_order(t, length, bound)
-    order = order[valid[order]]
-    prints = _span(total, order, order + length, down)
-    same = prints[1:] == prints[:-1]
-    hit = (np.append(False, same) | np.append(same, False))[: len(order)]
-    mark = np.zeros(len(t), bool)
-    mark[order[hit]] = True
-    return [mark[a : a + max(0, k - length + 1)] for a, k in zip(first, size, strict=True)]
+    order = suffix_order(t, max(lengths), bound)
+    out = []
+    for length in lengths:
+        valid = np.zeros(len(t), bool)
+        for a, k, c in zip(first, size, counts, strict=True):
+            valid[a : a + max(0, min(c, k - length + 1))] = True
+        own = order[valid[order]]
+        prints = _span(total, own, own + length, down)
+        same = prints[1:] == prints[:-1]
+        mark = np.zeros(len(t), bool)
+        mark[own[(np.append(False, same) | np.append(same, False))[: len(own)]]] = True
+        out.append([mark[a : a + c] for a, c in zip(first, counts, strict=True)])
+    return out
 
 
 def _sort(p: SuffixParameters):
-    """Pieces (key, print, n, bytes) sorted by key -> runs of repeated starts of each, as first and last."""
+    """Pieces (key, print, n, c, bytes) sorted by key -> runs of repeated starts of each, as first and last, by length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            marks = repeated([np.frombuffer(x[3], np.uint8) for x in held], p.length, p.queue_bytes)
+            marks = repeated([np.frombuffer(x[4], np.uint8) for x in held], [x[3] for x in held], p.lengths, p.queue_bytes)
             rows = []
-            for (key, prints, n, _), mark in zip(held, marks, strict=True):
-                if n > 1:
-                    mark = np.ones(len(mark), bool)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
-                rows += [(key, prints, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            for length, own in zip(p.lengths, marks, strict=True):
+                for (key, prints, n, c, raw), mark in zip(held, own, strict=True):
+                    if n > 1:
+                        mark = np.arange(c) <= len(raw) - length
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
+                    rows += [(key, prints, int(a), int(b) - 1, length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, kinds, strict=True)], ["key", "print", "a", "b"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds, strict=True)], ["key", "print", "a", "b", "length"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = tuple(batch.column(c)[i].as_py() for c in range(4))
+                row = tuple(batch.column(c)[i].as_py() for c in range(5))
                 if size >= p.shard_bytes and row[0] != held[-1][0]:
                     yield flush()
                     size = 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield flush()
 
     return run
 
 
+def _starts(p: SuffixParameters):
+    """text and its wanted pieces -> each start's fingerprint of every length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = powers(2 * p.length + 1)
+        names = ["key", "print", "n", "i", "length", "w"]
+        for batch in batches:
+            for lo, hi, offsets, data in chunks(batch.column(0), 4 << 20):
+                for i, wanted in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()):
+                    out = []
+                    for x in wanted:
+                        a = offsets[i] + x["s"]
+                        raw = data[a : min(a + x["c"] - 1 + p.length, offsets[i + 1])]
+                        total = np.zeros(len(raw) + 1, _U)
+                        np.cumsum(_CODES[raw] * up[: len(raw)], out=total[1:])
+                        for length in p.lengths:
+                            at = np.arange(max(0, min(x["c"], len(raw) - length + 1)))
+                            w = _span(total, at, at + length, down) + _U(length)
+                            out.append((np.full(len(at), x["key"]), np.full(len(at), x["print"]), np.full(len(at), x["n"]), at.astype(np.int32), np.full(len(at), length, np.int32), w.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+    return run
+
+
 def _bytes(p: SuffixParameters):
     """text and its wanted pieces -> the pieces' bytes."""
 
@@ -312,31 +357,58 @@ def _bytes(p: SuffixParameters):
                 out = []
                 for i, wanted in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()):
                     text = data[offsets[i] : offsets[i + 1]]
-                    out += [(x["key"], x["print"], x["n"], text[x["s"] : x["s"] + x["c"] - 1 + p.length].tobytes()) for x in wanted]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds, strict=True)], ["key", "print", "n", "bytes"])
+                    out += [(x["key"], x["print"], x["n"], x["c"], text[x["s"] : x["s"] + x["c"] - 1 + p.length].tobytes()) for x in wanted]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds, strict=True)], ["key", "print", "n", "c", "bytes"])
 
     return run
 
 
 def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = SuffixParameters()) -> DataFrame:
-    """node (16 bytes that stand for a text) and spans (array of first byte and end, not merged) of texts with repeats."""
+    """node (16 bytes that stand for a text), spans and shared (arrays of first byte and end, not merged, of repeats of `length` and of any of the lengths) of texts with repeats."""
     spark = docs.sparkSession
-    own = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.length)
+    own = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.short)
     every = stored(own.mapInArrow(_sketch(p), "node binary, key long, print long, s int, c int"), "pieces")
     twice = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("key").alias("h")), "keys")
     near = stored(split_by(every, F.xxhash64("key"), twice, twice.count())[1], "suspects")
     dropped(spark, every, twice)
     one = near.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "c")).alias("at"))
-    wanted = one.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("key", "print", "n", F.col("at.s").alias("s"), F.col("at.c").alias("c"))).alias("wanted"))
+    large = one.groupBy("key").agg(F.sum(F.col("at.c") + p.length).alias("bytes")).filter(F.col("bytes") > p.key_bytes)
+    large = stored(large.select(F.xxhash64("key").alias("h")), "hot")
+    n_hot = large.count()
+    # Told by the key, so all pieces of a key go one way, also one that the filter takes for hot.
+    hot = passes(bloom_of(large, n_hot), F.xxhash64("key")) if n_hot else F.lit(False)
+    one = one.withColumn("hot", hot)
+    wanted = one.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("key", "print", "n", F.col("at.s").alias("s"), F.col("at.c").alias("c"), "hot")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     texts = split_by(own, F.xxhash64("node"), wanted.select(F.xxhash64("node")), wanted.count())[1].groupBy("node").agg(F.first("text").alias("text"))
-    cut = texts.join(wanted, "node").select("text", "wanted").mapInArrow(_bytes(p), "key long, print long, n long, bytes binary")
+    joined = texts.join(wanted, "node")
+    part = lambda is_hot: joined.select("text", F.filter("wanted", lambda x: x["hot"] == is_hot).alias("wanted")).filter(F.size("wanted") > 0)
+    cut = part(False).mapInArrow(_bytes(p), "key long, print long, n long, c int, bytes binary")
     dealt = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    runs = stored(dealt.mapInArrow(_sort(p), "key long, print long, a int, b int"), "runs")
-    spans = near.join(runs, ["key", "print"]).select("node", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b") + p.length).alias("e")).distinct()
-    out = stored(spans.groupBy("node").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "covered")
-    dropped(spark, near, wanted, runs)
+    runs, held = dealt.mapInArrow(_sort(p), "key long, print long, a int, b int, length int"), []
+    if n_hot:
+        starts = stored(part(True).mapInArrow(_starts(p), "key long, print long, n long, i int, length int, w long"), "starts")
+        again = stored(starts.groupBy("w").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("times")).filter("copies > 1").select("w", "times"), "again")
+        found = spread_join(starts.drop("n"), again, "w", "times", starts.count())
+        runs, held = runs.unionByName(found.select("key", "print", F.col("i").alias("a"), F.col("i").alias("b"), "length")), [starts, again]
+    runs = stored(runs, "runs")
+    dropped(spark, large, wanted, *held)
+    spans = near.join(runs, ["key", "print"]).select("node", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b") + F.col("length")).alias("e"), "length").distinct()
+    span = F.struct("s", "e")
+    out = stored(spans.groupBy("node").agg(F.collect_list(F.when(F.col("length") == p.length, span)).alias("spans"), F.collect_list(span).alias("shared")), "covered")
+    dropped(spark, near, runs)
+    return out
+
+
+def merged(spans: list[dict] | None) -> list[list[int]]:
+    """Spans in order, overlapping and touching ones as one."""
+    out: list[list[int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
     return out
 
 
@@ -344,40 +416,37 @@ def _remove(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column(1))
-            n_bytes, gone, n_spans, digest, kept = [], [], [], [], []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            n_bytes, gone, n_spans, digest, n_shared, kept = [], [], [], [], [], []
+            for i, (spans, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                merged: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                at = [0, *(x for m in merged for x in m), len(raw)]
+                cut = merged(spans)
+                at = [0, *(x for m in cut for x in m), len(raw)]
                 left = b"".join(raw[at[j] : at[j + 1]] for j in range(0, len(at), 2))
                 n_bytes.append(len(raw))
                 gone.append(len(raw) - len(left))
-                n_spans.append(len(merged))
+                n_spans.append(len(cut))
                 digest.append(hashlib.sha256(left).hexdigest())
+                n_shared.append(sum(e - s for s, e in merged(shared)))
                 kept.append(left if with_bytes else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, gone, n_spans)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            counts = [pa.array(x, pa.int64()) for x in (n_bytes, gone, n_spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array(n_shared, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
 
     return run
 
 
 def remove_repeats(rows: DataFrame, p: SuffixParameters = SuffixParameters(), with_bytes: bool = True) -> DataFrame:
-    """rows: `row` (anything) and `text`.  Per row: n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes; null unless asked for)."""
+    """rows: `row` (anything) and `text`.  Per row: n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in repeats of `least` bytes, removed or not) and kept (bytes; null unless asked for)."""
     spark, kind = rows.sparkSession, rows.schema["row"].dataType.simpleString()
     found = covered(rows.select("text"), "text", p)
     text = F.coalesce("text", F.lit(""))
     own = rows.select("row", text.alias("text"), F.unhex(F.md5(text)).alias("node"))
     rest, hit = split_by(own, F.xxhash64("node"), found.select(F.xxhash64("node")), found.count())
-    cut = hit.join(found, "node", "left").select("row", "text", "spans").mapInArrow(_remove(with_bytes), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    whole = F.col("text").cast("binary")
-    rest = rest.select("row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), (whole if with_bytes else F.lit(None).cast("binary")).alias("kept"))
+    cut = hit.join(found, "node", "left").select("row", "text", "spans", "shared").mapInArrow(_remove(with_bytes), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
+    whole, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    rest = rest.select("row", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), none.alias("n_shared"), (whole if with_bytes else F.lit(None).cast("binary")).alias("kept"))
     return cut.unionByName(rest)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs.select(F.struct("doc_id").alias("row"), "text"), with_bytes=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs.select(F.struct("doc_id").alias("row"), "text"), with_bytes=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")

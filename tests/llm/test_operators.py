@@ -258,12 +258,28 @@ def _brute_repeats(docs, length):
 def test_suffix_dedup(spark, edge, empty):
     docs = {k: t.encode() for k, t in docs_of(spark).items()}
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.query(spark, FOLDER).collect()}
-    assert got == _brute_repeats(docs, 400)
+    shared = _brute_repeats(docs, 256)
+    assert got == {k: (*v, shared[k][1]) for k, v in _brute_repeats(docs, 400).items()}
     out = suffix_dedup.remove_repeats(edge.select(F.struct("doc_id").alias("row"), "text"))
     assert {r["n_removed"] for r in out.filter("row.doc_id = 6").collect()} == {3000} and out.count() == len(EDGE)
     assert suffix_dedup.remove_repeats(empty.select(F.struct("doc_id").alias("row"), "text")).count() == 0
 
 
+@pytest.mark.parametrize("key_bytes", [0, 3000, 1 << 20])
+def test_keys_of_many_pieces(spark, key_bytes):
+    """A passage in many differing texts, of which some agree beyond it: the same result by sorting and by aggregation."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passage, tails = word(70), [word(60) for _ in range(6)]
+    texts = [word(rng.randint(0, 80)) + passage + rng.choice(tails) + word(rng.randint(0, 40)) for _ in range(60)] + ["ab" * 200, "", word(30)]
+    p = suffix_dedup.SuffixParameters(length=100, least=64, gram=16, key_bytes=key_bytes)
+    docs = {i: t.encode() for i, t in enumerate(texts)}
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([((i,), t) for i, t in enumerate(texts)], "row struct<doc_id:long>, text string"), p)
+    got = {r["row"]["doc_id"]: tuple(r)[1:6] for r in out.collect()}
+    shared = _brute_repeats(docs, 64)
+    assert got == {k: (*v, shared[k][1]) for k, v in _brute_repeats(docs, 100).items()}
+
+
 def test_induced_sorting():
     rng = random.Random(3)
     for _ in range(150):
