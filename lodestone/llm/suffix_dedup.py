@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ _LOW = (1 << 24) - 1
 class SuffixParameters:
     length: int = 400
     #: Repeats of this length are counted (n_shared); never above `length`.
-    least: int = 256
+    least: int = 288
     gram: int = 64
     #: Bytes of a shard's text that are sorted at once, at least; pieces of one key stay together.
     shard_bytes: int = 1 << 20
@@ -264,30 +265,40 @@ def recurse(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def repeated(texts: list[np.ndarray], counts: list[int], lengths: tuple[int, ...], bound: int) -> list[list[np.ndarray]]:
-    """For each length and byte string, which of its first starts (as many as counts) begin a string of that length that starts elsewhere in them too."""
-    size = np.array([len(x) for x in texts])
+def _filled(first: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Flags of the n places from each first on; the runs do not meet."""
+    step = np.zeros(size + 1, np.int8)
+    step[first] += 1
+    step[first + n] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+def repeated(data: np.ndarray, size: np.ndarray, counts: np.ndarray, copied: np.ndarray, lengths: tuple[int, ...], bound: int) -> tuple[np.ndarray, ...]:
+    """Of byte strings, one after the other in data, the runs of starts that begin a string of each length that starts elsewhere in them too.
+
+    Only the first `counts` starts of a string count; all of a copied one's are repeated.  Returns the string's number, first and last start and the length.
+    """
     first = np.cumsum(size + 1) - size - 1
-    t = np.ones(int(size.sum()) + len(texts) + 1, np.int16)  # 1 parts the strings, 0 ends them all
+    t = np.ones(len(data) + len(size) + 1, np.int16)  # 1 parts the strings, 0 ends them all
     t[-1] = 0
-    for x, a in zip(texts, first, strict=True):
-        t[a : a + len(x)] = x.astype(np.int16) + 2
+    t[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.int16) + 2
     up, down = powers(len(t) + 1)
     total = np.zeros(len(t) + 1, _U)
     np.cumsum(mix(np.arange(258, dtype=_U) + _U(1))[t] * up[: len(t)], out=total[1:])
     order = suffix_order(t, max(lengths), bound)
     out = []
     for length in lengths:
-        valid = np.zeros(len(t), bool)
-        for a, k, c in zip(first, size, counts, strict=True):
-            valid[a : a + max(0, min(c, k - length + 1))] = True
-        own = order[valid[order]]
+        n = np.maximum(np.minimum(counts, size - length + 1), 0)
+        own = order[_filled(first, n, len(t))[order]]
         prints = _span(total, own, own + length, down)
         same = prints[1:] == prints[:-1]
-        mark = np.zeros(len(t), bool)
+        mark = _filled(first[copied], n[copied], len(t))
         mark[own[(np.append(False, same) | np.append(same, False))[: len(own)]]] = True
-        out.append([mark[a : a + c] for a, c in zip(first, counts, strict=True)])
-    return out
+        edge = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0))
+        a, b = edge[::2], edge[1::2]
+        piece = np.searchsorted(first, a, "right") - 1
+        out.append((piece, a - first[piece], b - 1 - first[piece], np.full(len(a), length)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _sort(p: SuffixParameters):
@@ -295,29 +306,31 @@ def _sort(p: SuffixParameters):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, last, bound = 0, None, max(1, p.shard_bytes)
 
         def flush() -> pa.RecordBatch:
-            marks = repeated([np.frombuffer(x[4], np.uint8) for x in held], [x[3] for x in held], p.lengths, p.queue_bytes)
-            rows = []
-            for length, own in zip(p.lengths, marks, strict=True):
-                for (key, prints, n, c, raw), mark in zip(held, own, strict=True):
-                    if n > 1:
-                        mark = np.arange(c) <= len(raw) - length
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8)))
-                    rows += [(key, prints, int(a), int(b) - 1, length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            key, prints, n, c, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds, strict=True)], ["key", "print", "a", "b", "length"])
+            piece, a, b, length = repeated(data, sizes, c, n > 1, p.lengths, p.queue_bytes)
+            columns = [key[piece], prints[piece], *(x.astype(np.int32) for x in (a, b, length))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "print", "a", "b", "length"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = tuple(batch.column(c)[i].as_py() for c in range(5))
-                if size >= p.shard_bytes and row[0] != held[-1][0]:
+            key, prints, n, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            offsets, data = buffers(batch.column(4))
+            at, rows = 0, len(key)
+            new = np.append(key[:1] != last, key[1:] != key[:-1])
+            while at < rows:
+                full = np.flatnonzero(new[at:] & (size + offsets[at:-1] - offsets[at] >= bound))
+                end = at + int(full[0]) if len(full) else rows
+                if end > at:
+                    held.append((key[at:end], prints[at:end], n[at:end], c[at:end], np.diff(offsets[at : end + 1]), data[offsets[at] : offsets[end]]))
+                    size += int(offsets[end] - offsets[at])
+                if len(full):
                     yield flush()
                     size = 0
-                held.append(row)
-                size += len(row[4])
+                at = end
+            last = key[-1] if rows else last
         if held:
             yield flush()
 
@@ -365,7 +378,7 @@ def _bytes(p: SuffixParameters):
 
 
 def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = SuffixParameters()) -> DataFrame:
-    """node (16 bytes that stand for a text), spans and shared (arrays of first byte and end, not merged, of repeats of `length` and of any of the lengths) of texts with repeats."""
+    """node (16 bytes that stand for a text), spans and shared (arrays of first byte and end, not merged, of repeats of `length` and of `least`) of texts with repeats."""
     spark = docs.sparkSession
     own = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.short)
     every = stored(own.mapInArrow(_sketch(p), "node binary, key long, print long, s int, c int"), "pieces")
@@ -396,40 +409,43 @@ def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = Suffi
     dropped(spark, large, wanted, *held)
     spans = near.join(runs, ["key", "print"]).select("node", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b") + F.col("length")).alias("e"), "length").distinct()
     span = F.struct("s", "e")
-    out = stored(spans.groupBy("node").agg(F.collect_list(F.when(F.col("length") == p.length, span)).alias("spans"), F.collect_list(span).alias("shared")), "covered")
+    out = stored(spans.groupBy("node").agg(F.collect_list(F.when(F.col("length") == p.length, span)).alias("spans"), F.collect_list(F.when(F.col("length") == p.short, span)).alias("shared")), "covered")
     dropped(spark, near, runs)
     return out
 
 
-def merged(spans: list[dict] | None) -> list[list[int]]:
-    """Spans in order, overlapping and touching ones as one."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def merged(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first byte and end of the union of each row's spans; those that overlap or touch are one."""
+    n = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    s, e = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((s, row))
+    row = row[order]
+    apart = row * (int(e.max(initial=0)) + 1)  # keeps the rows from meeting
+    s, reach = s[order] + apart, np.maximum.accumulate(e[order] + apart)
+    first = np.flatnonzero(np.append(True, s[1:] > reach[:-1])[: len(s)])
+    last = np.append(first[1:], len(s))[: len(first)] - 1
+    return row[first], (s - apart)[first], (reach - apart)[last]
 
 
 def _remove(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column(1))
-            n_bytes, gone, n_spans, digest, n_shared, kept = [], [], [], [], [], []
-            for i, (spans, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                cut = merged(spans)
-                at = [0, *(x for m in cut for x in m), len(raw)]
-                left = b"".join(raw[at[j] : at[j + 1]] for j in range(0, len(at), 2))
-                n_bytes.append(len(raw))
-                gone.append(len(raw) - len(left))
-                n_spans.append(len(cut))
+            rows = len(offsets) - 1
+            row, start, end = merged(batch.column(2))
+            other, low, high = merged(batch.column(3))
+            cut, both = np.searchsorted(row, np.arange(rows + 1)), np.stack([start, end], axis=1)
+            digest, kept = [], []
+            for i in range(rows):
+                at = [0, *both[cut[i] : cut[i + 1]].ravel().tolist(), int(offsets[i + 1] - offsets[i])]
+                raw = data[offsets[i] : offsets[i + 1]]
+                left = b"".join(raw[at[j] : at[j + 1]].tobytes() for j in range(0, len(at), 2))
                 digest.append(hashlib.sha256(left).hexdigest())
-                n_shared.append(sum(e - s for s, e in merged(shared)))
                 kept.append(left if with_bytes else None)
-            counts = [pa.array(x, pa.int64()) for x in (n_bytes, gone, n_spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array(n_shared, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
+            count = lambda at, sizes: np.bincount(at, sizes, rows).astype(np.int64)
+            counts = [pa.array(x) for x in (np.diff(offsets), count(row, end - start), np.diff(cut))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array(count(other, high - low)), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
 
     return run
 

@@ -258,7 +258,7 @@ def _brute_repeats(docs, length):
 def test_suffix_dedup(spark, edge, empty):
     docs = {k: t.encode() for k, t in docs_of(spark).items()}
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.query(spark, FOLDER).collect()}
-    shared = _brute_repeats(docs, 256)
+    shared = _brute_repeats(docs, 288)
     assert got == {k: (*v, shared[k][1]) for k, v in _brute_repeats(docs, 400).items()}
     out = suffix_dedup.remove_repeats(edge.select(F.struct("doc_id").alias("row"), "text"))
     assert {r["n_removed"] for r in out.filter("row.doc_id = 6").collect()} == {3000} and out.count() == len(EDGE)
