@@ -63,10 +63,27 @@ def feature_id(ftype: Column, hilbert_pos: Column, kind: Column, osm_id: Column,
     return F.concat(base, F.coalesce(F.concat(F.lit("-"), counter.cast("string")), F.lit(""))) if counter is not None else base
 
 
+def hilbert_decode(pos: Column) -> Column:
+    """x and y (16 bits) of a position on the curve."""
+    corner = [HILBERT_POSITION[state * 4 : state * 4 + 4].index(q) for state in range(4) for q in range(4)]
+    after = [HILBERT_NEXT[i // 4 * 4 + k] for i, k in enumerate(corner)]
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("state"), zero.alias("x"), zero.alias("y"))
+
+    def step(a: Column, i: Column) -> Column:
+        at = (a["state"] * 4 + F.call_function("getbit", pos, i * 2 + 1).cast("int") * 2 + F.call_function("getbit", pos, i * 2).cast("int") + 1).cast("int")
+        k = F.element_at(lits(corner), at)
+        return F.struct(F.element_at(lits(after), at).alias("state"), (a["x"] * 2 + F.floor(k / 2)).cast("long").alias("x"), (a["y"] * 2 + k % 2).cast("long").alias("y"))
+
+    return F.aggregate(lits(range(15, -1, -1)), start, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+
+
 def java_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash over characters (of the basic plane)."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    low = F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(0xFFFFFFFF))
+    """The 32-bit polynomial hash over UTF-16 units."""
+    h = F.hex(F.encode(text, "UTF-16BE"))
+    places = F.when(F.length(h) > 0, F.sequence(F.lit(0).cast("long"), (F.length(h) / 4 - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    unit = lambda i: F.conv(F.substring(h, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long")
+    low = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: (a * 31 + unit(i)).bitwiseAND(0xFFFFFFFF))
     return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
 
 
@@ -153,6 +170,14 @@ def point_along(line: Column, length: Column) -> Column:
     return F.coalesce(F.aggregate(segments, start, step, lambda a: a["at"]), F.element_at(line, -1))
 
 
+def line_between(line: Column, start: Column, end: Column) -> Column:
+    """The piece of a line between two lengths along it."""
+    first = F.array(F.lit(0.0))
+    far = F.aggregate(F.slice(_edges(line), 1, F.greatest(F.size(line) - 1, F.lit(0))), first, lambda a, e: F.concat(a, F.array(F.element_at(a, -1) + F.hypot(e["b"]["lon"] - e["a"]["lon"], e["b"]["lat"] - e["a"]["lat"]))))
+    inner = F.filter(line, lambda v, i: (F.get(far, i) > start) & (F.get(far, i) < end))
+    return F.concat(F.array(point_along(line, start)), inner, F.array(point_along(line, end)))
+
+
 def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Squared distance of a point from a segment."""
     dx, dy = (bx - ax).cast("double"), (by - ay).cast("double")

@@ -41,13 +41,13 @@ def text(parts: Column, order: str) -> Column:
 
 
 def filter_levels(parts: Column, sizes: Column, skip: Column, from_size: int = 55) -> Column:
-    """Names of parts (ordered by size) without those above from_size that are to be skipped or contain the name kept before them."""
+    """Names of parts (ordered by size) without those above from_size that are to be skipped or contain the name of such a one kept before them."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
     both = F.arrays_zip(parts.alias("p"), sizes.alias("s"))
 
     def step(a: Column, x: Column) -> Column:
         drop = (x["s"] > from_size) & (F.array_contains(skip, x["p"]["lvl"]) | F.coalesce(F.contains(F.lower(x["p"]["name"]), F.lower(a["last"])), F.lit(False)))
-        return F.when(drop, a).otherwise(F.struct(x["p"]["name"].alias("last"), F.concat(a["out"], F.array(x["p"]["name"])).alias("out")))
+        return F.when(drop, a).otherwise(F.struct(F.when(x["s"] > from_size, x["p"]["name"]).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(x["p"]["name"])).alias("out")))
 
     return F.aggregate(both, start, step, lambda a: a["out"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import address, features, graph, places, spatial, streets, versions
+from ..operators import address, compose, features, graph, places, spatial, streets, versions
 from ..sources import osm, sinks
 from .views import frame
 
@@ -198,7 +198,7 @@ def q_addr_schemes(spark, d):
     return address.schemes(tagged).select("id", "scheme", "hn", "street")
 
 
-@query("""SELECT bid AS id, CASE WHEN bid % 3 = 0 THEN bname WHEN bid % 3 = 1 THEN concat(bname, ', City') ELSE concat(bname, ', Land') END AS text FROM {nation_box}""")
+@query("""SELECT bid AS id, CASE WHEN bid % 3 = 0 THEN concat(bname, ', Great ', bname, ', ', upper(bname), ' Union') WHEN bid % 3 = 1 THEN concat(bname, ', City') ELSE concat(bname, ', Land') END AS text FROM {nation_box}""")
 def q_fulltext_filter(spark, d):
     """Levels of a full text: a larger unit that repeats the name before it is left out, as are levels to skip."""
     box = frame(spark, d, "nation_box")
@@ -454,3 +454,38 @@ def q_boundary_rows(spark, d):
     own = frame(spark, d, "lineitem").withColumn("l_linenumber", F.expr("3 + l_linenumber % 3")).groupBy("l_orderkey").agg(F.sort_array(F.collect_set(b)).alias("bs"))
     rows = streets.boundary_rows(F.col("bs"))
     return own.select(F.col("l_orderkey").alias("id"), F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda x: x["id"].cast("string")), "-")), ",").alias("rows"))
+
+
+@query("SELECT id, (x + 180000) & 65535 AS x, (y + 85000) & 65535 AS y FROM {addr_pts}")
+def q_hilbert_decode(spark, d):
+    """Coordinates from Hilbert positions: the low bits come back."""
+    at = frame(spark, d, "addr_pts").select("id", geo.hilbert(F.col("x") + 180000, F.col("y") + 85000).alias("pos"))
+    return at.select("id", geo.hilbert_decode(F.col("pos")).alias("c")).select("id", "c.x", "c.y")
+
+
+@query("""SELECT a.id, concat_ws(', ', CASE WHEN a.id % 3 = 0 THEN CAST(a.id AS STRING) END, CAST(a.hn AS STRING), CASE WHEN a.id % 35 = 0 THEN 'Other' ELSE a.street END, CASE WHEN a.id % 4 = 0 THEN concat('Town ', CAST(a.id % 50 AS STRING)) END, b.bname, r.r_name) AS text,
+CASE WHEN a.id % 7 = 0 OR a.id % 5 <> 0 THEN concat('hghway-', CAST(a.id % 37 AS STRING)) END AS street_lnk, CASE WHEN a.id % 8 = 0 THEN concat('plcpnt-', CAST(a.id AS STRING)) END AS city_lnk, 5 + CASE WHEN a.id % 4 = 0 THEN 1 ELSE 0 END AS parts
+FROM {addr_pts} a JOIN {nation_box} b ON a.x BETWEEN b.minx AND b.maxx AND a.y BETWEEN b.miny AND b.maxy JOIN {region} r ON r.r_regionkey = b.region""")
+def q_address_rows(spark, d):
+    """Whole address rows: postcode, number, street by relation or name, city by nearest place or tag, boundaries."""
+    text = lambda c: c.cast("string")
+    tags = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    hit = _box_points(spark, d).join(frame(spark, d, "region"), F.col("region") == F.col("r_regionkey"))
+    i = F.col("id")
+    town = F.concat(F.lit("Town "), text(i % 50))
+    of = lambda prefix, key, t: F.struct(F.concat(F.lit(prefix), text(key)).alias("id"), t.alias("tags"))
+    bounds = F.array(of("bnd4-", F.col("bid"), tags(admin_level=F.lit("4"), name=F.col("bname"))), of("bnd2-", F.col("region"), tags(admin_level=F.lit("2"), name=F.col("r_name"))))
+    called = F.when(i % 5 != 0, F.col("street")).otherwise("Other")
+    near = F.struct(F.concat(F.lit("hghway-"), text(i % 37)).alias("id"), (i % 37).alias("way"), tags(name=called).alias("tags"), F.array(F.lit(7)).alias("hashes"))
+    rows = hit.select(text(i).alias("id"), tags(**{"addr:postcode": F.when(i % 3 == 0, text(i)), "addr:city": F.when(i % 4 == 0, town)}).alias("tags"), F.lit("regular").alias("scheme"), text(F.col("hn")).alias("hn"), "street", bounds.alias("boundaries"), of("plcpnt-", i, tags(place=F.lit("town"), name=F.when(i % 8 == 0, town).otherwise("Elsewhere"))).alias("nearest"), F.array(near).alias("streets"), F.when(i % 7 == 0, F.array(i % 37)).alias("ways"), F.lit(None).cast("map<string,string>").alias("relation_tags"))
+    link = lambda *levels: F.get(F.transform(F.filter("parts", lambda p: p["lvl"].isin(*levels)), lambda p: p["lnk"]), F.lit(0))
+    return compose.address_rows(rows).select(F.col("id").cast("long").alias("id"), "text", link("street").alias("street_lnk"), link("place:town", "place:city").alias("city_lnk"), F.size("parts").alias("parts"))
+
+
+@query("SELECT o_custkey AS id, concat('[', string_agg(part, ',' ORDER BY part), ']') AS text FROM (SELECT o_custkey, replace(replace(concat('<\"key\":<', CAST(o_orderkey AS STRING), '>\"tags\":<<\"p\":<', o_orderpriority, '>\"s\":<', o_orderstatus, '>>>>'), '<', chr(123)), '>', chr(125)) AS part FROM {orders}) GROUP BY o_custkey")
+def q_canonical(spark, d):
+    """Canonical text of nested records."""
+    one = F.struct(F.create_map(F.lit("s"), F.col("o_orderstatus"), F.lit("p"), F.col("o_orderpriority")).alias("tags"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("timestamp"))
+    lists = frame(spark, d, "orders").select(F.col("o_custkey").alias("id"), one.alias("one"))
+    each = lists.select("id", compose.canonical(F.col("one"), lists.schema["one"].dataType).alias("t"))
+    return each.groupBy("id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("t")), ","), F.lit("]")).alias("text"))

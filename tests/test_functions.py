@@ -68,9 +68,9 @@ def test_boundary_rows(spark):
 
 
 def test_filter_and_languages(spark):
-    parts = F.array(address.part("street", F.lit("Ave")), address.part("boundary:6", F.lit("Big Ave District")), address.part("boundary:4", F.lit("Land")))
+    parts = F.array(address.part("street", F.lit("Ave")), address.part("boundary:6", F.lit("Ave District")), address.part("boundary:4", F.lit("Great Ave District")))
     langs = address.languages_of_all(F.array(geo.lits(["de", "en"]), geo.lits(["en", "fr"])))
-    assert one(spark, address.filter_levels(parts, geo.lits([20, 90, 110]), geo.lits(["x"])), langs) == (["Ave", "Land"], ["en"])
+    assert one(spark, address.filter_levels(parts, geo.lits([20, 90, 110]), geo.lits(["x"])), langs) == (["Ave", "Ave District"], ["en"])
 
 
 def test_nearest_finds_far_points(spark):
