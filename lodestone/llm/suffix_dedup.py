@@ -385,18 +385,22 @@ def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = Suffi
     twice = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("key").alias("h")), "keys")
     near = stored(split_by(every, F.xxhash64("key"), twice, twice.count())[1], "suspects")
     dropped(spark, every, twice)
-    one = near.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "c")).alias("at"))
+    one = stored(near.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "c")).alias("at")), "once")
     large = one.groupBy("key").agg(F.sum(F.col("at.c") + p.length).alias("bytes")).filter(F.col("bytes") > p.key_bytes)
     large = stored(large.select(F.xxhash64("key").alias("h")), "hot")
     n_hot = large.count()
     # Told by the key, so all pieces of a key go one way, also one that the filter takes for hot.
     hot = passes(bloom_of(large, n_hot), F.xxhash64("key")) if n_hot else F.lit(False)
-    one = one.withColumn("hot", hot)
-    wanted = one.groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("key", "print", "n", F.col("at.s").alias("s"), F.col("at.c").alias("c"), "hot")).alias("wanted"))
+    wanted = one.withColumn("hot", hot).groupBy(F.col("at.node").alias("node")).agg(F.collect_list(F.struct("key", "print", "n", F.col("at.s").alias("s"), F.col("at.c").alias("c"), "hot")).alias("wanted"))
     wanted = stored(wanted, "wanted")
-    texts = split_by(own, F.xxhash64("node"), wanted.select(F.xxhash64("node")), wanted.count())[1].groupBy("node").agg(F.first("text").alias("text"))
-    joined = texts.join(wanted, "node")
-    part = lambda is_hot: joined.select("text", F.filter("wanted", lambda x: x["hot"] == is_hot).alias("wanted")).filter(F.size("wanted") > 0)
+    dropped(spark, one)
+
+    def part(is_hot: bool) -> DataFrame:
+        """Texts with their pieces of hot keys, or of all others; only texts that have some are shuffled."""
+        mine = wanted.withColumn("wanted", F.filter("wanted", lambda x: x["hot"] == is_hot)).filter(F.size("wanted") > 0)
+        texts = split_by(own, F.xxhash64("node"), mine.select(F.xxhash64("node")), mine.count())[1].groupBy("node").agg(F.first("text").alias("text"))
+        return texts.join(mine, "node").select("text", "wanted")
+
     cut = part(False).mapInArrow(_bytes(p), "key long, print long, n long, c int, bytes binary")
     dealt = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     runs, held = dealt.mapInArrow(_sort(p), "key long, print long, a int, b int, length int"), []
