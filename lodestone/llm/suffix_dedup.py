@@ -76,6 +76,20 @@ def _span(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndar
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def _prints(total: np.ndarray, starts: np.ndarray, ends: np.ndarray | int, down: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Fingerprints from starts to ends (or of one length), made block by block so that only the result is large."""
+    out = np.empty(len(starts), _U)
+    for i in range(0, len(starts), step):
+        own = starts[i : i + step].astype(np.int64)
+        out[i : i + step] = _span(total, own, own + ends if isinstance(ends, int) else ends[i : i + step], down)
+    return out
+
+
+def _place(n: int) -> type:
+    """Type of positions below n."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def pieces(offsets: np.ndarray, data: np.ndarray, p: SuffixParameters) -> tuple[np.ndarray, ...]:
     """text, key, print (of the piece's bytes), first start and number of starts of all pieces of the texts."""
     w, out = p.short - p.gram + 1, []
@@ -131,8 +145,9 @@ def _sketch(p: SuffixParameters):
 class Queue:
     """Suffixes waiting for each bucket, in order of arrival; on disk beyond a bound."""
 
-    def __init__(self, bound: int):
+    def __init__(self, bound: int, kind: type):
         self.held: dict[int, list] = {}
+        self.kind = np.dtype(kind)
         self.size, self.bound, self.file = 0, bound, None
 
     def put(self, bucket: int, values: np.ndarray) -> None:
@@ -157,8 +172,8 @@ class Queue:
                 out.append(x)
             else:
                 self.file.seek(x[0])
-                out.append(np.frombuffer(self.file.read(8 * x[1]), np.int64))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+                out.append(np.frombuffer(self.file.read(self.kind.itemsize * x[1]), self.kind))
+        return np.concatenate(out) if out else np.zeros(0, self.kind)
 
     def deal(self, values: np.ndarray, chars: np.ndarray) -> None:
         """Put each value into the bucket of its char, keeping order."""
@@ -173,10 +188,10 @@ class Queue:
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, bound: int) -> np.ndarray:
     """All suffixes in order from the LMS suffixes in order.  Only the last character is the smallest; small: S-type."""
-    n, top = len(t), int(t.max())
-    seeds = Queue(bound)
-    seeds.deal(lms, t[lms])
-    queue, large = Queue(bound), {}
+    n, top, kind = len(t), int(t.max()), _place(len(t))
+    seeds = Queue(bound, kind)
+    seeds.deal(lms.astype(kind), t[lms])
+    queue, large = Queue(bound, kind), {}
     for c in range(top + 1):
         out = []
         while len(now := queue.drain(c)):
@@ -188,9 +203,9 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, bound: int) -> np.
         before = now[now > 0] - 1
         before = before[~small[before]]
         queue.deal(before, t[before])
-        large[c] = np.concatenate(out) if out else np.zeros(0, np.int64)
-    result, at = np.empty(n, np.int64), n
-    queue = Queue(bound)
+        large[c] = np.concatenate(out) if out else np.zeros(0, kind)
+    result, at = np.empty(n, kind), n
+    queue = Queue(bound, kind)
     for c in range(top, -1, -1):
         while len(now := queue.drain(c)):
             result[at - len(now) : at] = now[::-1]
@@ -202,7 +217,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, bound: int) -> np.
             at -= 1
             result[at] = n - 1
             if n > 1 and small[n - 2]:
-                queue.deal(np.array([n - 2]), t[[n - 2]])
+                queue.deal(np.array([n - 2], kind), t[[n - 2]])
         own = large.pop(c)
         result[at - len(own) : at] = own
         at -= len(own)
@@ -215,11 +230,15 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, bound: int) -> np.
 
 def suffix_order(t: np.ndarray, depth: int, bound: int) -> np.ndarray:
     """Suffixes of t by their first `depth` characters at least; only the last character of t is its smallest."""
-    n = len(t)
-    edge = np.append(np.where(t[:-1] != t[1:], np.arange(n - 1), n - 1), n - 1)
+    n, kind = len(t), _place(len(t))
+    edge = np.full(n, n - 1, kind)
+    at = np.flatnonzero(t[:-1] != t[1:])
+    edge[at] = at
+    del at
     edge = np.minimum.accumulate(edge[::-1])[::-1]
-    small = t[edge] < np.append(t, 0)[edge + 1]
+    small = t[edge] < np.append(t, t[:1])[edge + 1]
     small[edge == n - 1] = True
+    del edge
     is_lms = small.copy()
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
@@ -229,17 +248,23 @@ def suffix_order(t: np.ndarray, depth: int, bound: int) -> np.ndarray:
     # Sorted by their substrings up to the next LMS position; equal neighbours share a name.
     order = induce(t, small, lms, bound)
     order = order[is_lms[order]]
-    stop = np.zeros(n, np.int64)
-    stop[lms] = np.append(lms[1:] + 1, n)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(mix(t.astype(_U) + _U(1)) * up[:n], out=total[1:])
-    prints = mix((total[stop[order]] - total[order]) * down[order] + (stop[order] - order).astype(_U))
-    prints[order == lms[-1]] ^= _U(1)
-    name = np.append(0, np.cumsum(prints[1:] != prints[:-1]))
-    rank = np.empty(n, np.int64)
-    rank[order] = name
-    return induce(t, small, lms[recurse(rank[lms], depth)], bound)
+    which = np.searchsorted(lms, order)
+    ends = np.append(lms[1:] + 1, n)[which]
+    prints = _prints(_totals(t), order, ends, powers(n + 1)[1]) + (ends - order).astype(_U)
+    prints[which == len(lms) - 1] ^= _U(1)
+    names = np.empty(len(lms), np.int64)
+    names[which] = np.append(0, np.cumsum(prints[1:] != prints[:-1]))
+    del order, which, ends, prints
+    return induce(t, small, lms[recurse(names, depth)], bound)
+
+
+def _totals(t: np.ndarray) -> np.ndarray:
+    """Prefix sums of the codes of characters, for fingerprints."""
+    total = np.zeros(len(t) + 1, _U)
+    codes = mix(np.arange(int(t.max()) + 1, dtype=_U) + _U(1))[t]
+    codes *= powers(len(t) + 1)[0][: len(t)]
+    np.cumsum(codes, out=total[1:])
+    return total
 
 
 def recurse(names: np.ndarray, depth: int) -> np.ndarray:
@@ -282,15 +307,13 @@ def repeated(data: np.ndarray, size: np.ndarray, counts: np.ndarray, copied: np.
     t = np.ones(len(data) + len(size) + 1, np.int16)  # 1 parts the strings, 0 ends them all
     t[-1] = 0
     t[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.int16) + 2
-    up, down = powers(len(t) + 1)
-    total = np.zeros(len(t) + 1, _U)
-    np.cumsum(mix(np.arange(258, dtype=_U) + _U(1))[t] * up[: len(t)], out=total[1:])
     order = suffix_order(t, max(lengths), bound)
+    total, down = _totals(t), powers(len(t) + 1)[1]
     out = []
     for length in lengths:
         n = np.maximum(np.minimum(counts, size - length + 1), 0)
         own = order[_filled(first, n, len(t))[order]]
-        prints = _span(total, own, own + length, down)
+        prints = _prints(total, own, length, down)
         same = prints[1:] == prints[:-1]
         mark = _filled(first[copied], n[copied], len(t))
         mark[own[(np.append(False, same) | np.append(same, False))[: len(own)]]] = True
