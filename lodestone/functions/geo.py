@@ -27,6 +27,17 @@ def stripe_key(lon: Column, x10: bool = False) -> Column:
     return F.format_string(f"%0{width}d", F.floor((lon + 180) * n))
 
 
+def snapped(lon: Column, width: float = 0.1, places: int = 4) -> Column:
+    """The grid line of a width that is nearest to a longitude."""
+    return F.round(F.floor(lon / width + 0.5) * width, places)
+
+
+def blades(minx: Column, maxx: Column, width: float = 0.1) -> Column:
+    """Grid lines that cut a box: of steps of the width from its left edge, the nearest line if it is strictly inside."""
+    steps = F.sequence(F.lit(0), F.floor((maxx - minx) / width).cast("int"))
+    return F.array_distinct(F.filter(F.transform(steps, lambda i: snapped(minx + i * width, width)), lambda x: (x > minx) & (x < maxx)))
+
+
 def tile_x(lon: Column, zoom: int) -> Column:
     n = 1 << zoom
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((lon + 180) / 360 * n))).cast("int")
@@ -110,8 +121,11 @@ def level_size(level: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(v) for kv in LEVEL_SIZES.items() for v in kv]), level)
 
 
-def hstore(tags: Column) -> Column:
-    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('"=>"'), F.replace(e["value"], F.lit('"'), F.lit('\\"')), F.lit('"'))
+def hstore(tags: Column, escaped: bool = False) -> Column:
+    """Entries of a map by key, as "k"=>"v"; escaped also writes dollar signs as entities."""
+    plain = lambda v: F.replace(v, F.lit('"'), F.lit('\\"'))
+    value = (lambda v: F.replace(plain(v), F.lit("$"), F.lit("&#36;"))) if escaped else plain
+    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('"=>"'), value(e["value"]), F.lit('"'))
     return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), pair), ",")
 
 

@@ -62,3 +62,15 @@ def contact(tags: Column, what: str) -> Column:
 def part_named(parts: Column, level: str) -> Column:
     """Name of the first part of a level."""
     return F.get(F.transform(F.filter(parts, lambda p: p["lvl"] == level), lambda p: p["name"]), F.lit(0))
+
+
+def readable_size(size: Column) -> Column:
+    """Bytes in the largest unit that gives one or more, to one place."""
+    unit = F.least(F.floor(F.log(1024.0, F.greatest(size, F.lit(1)).cast("double")) + 1e-12), F.lit(4)).cast("int")
+    number = F.call_function("format_number", size / F.pow(F.lit(1024.0), unit), F.lit("#,##0.#"))
+    return F.when(size <= 0, "0").otherwise(F.concat(number, F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in ("B", "kB", "MB", "GB", "TB")]), unit + 1)))
+
+
+def geometry_type(kind: Column, geojson: bool) -> Column:
+    """A geometry's type as GeoJSON writes it, or in small letters."""
+    return kind if geojson else F.lower(kind)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,38 @@ def diff_lines(changes: DataFrame) -> DataFrame:
     return changes.select(F.element_at(rank, F.col("op")).alias("rank"), F.concat(F.col("op"), F.lit(" "), F.col("id").cast("string")).alias("value")).orderBy("rank", "value").select("value")
 
 
+def diff_file(old: DataFrame, new: DataFrame, names: tuple[str, str], at: str, full: bool = False) -> DataFrame:
+    """Lines of a whole diff file, in order: headers, then + and N with the new record, - and O with the id, or with the old record if full.
+
+    Inputs: id, ts, hash, body; names: the files; at: time of the diff.  Only the
+    records of changed ids are joined.
+    """
+    changes = diff(old, new).select("id", "op")
+    only_id = F.to_json(F.struct(F.col("id").cast("string").alias("id")))
+    fresh = changes.filter("op in ('+', 'N')").join(new.select("id", "body"), "id")
+    gone = changes.filter("op in ('-', 'O')")
+    gone = gone.join(old.select("id", "body"), "id") if full else gone.withColumn("body", only_id)
+    rank = F.create_map(*[F.lit(x) for kv in zip("+N-O", range(10, 14), strict=True) for x in kv])
+    rows = fresh.unionByName(gone).select(F.element_at(rank, F.col("op")).alias("rank"), F.concat(F.col("op"), F.lit(" "), F.col("body")).alias("value"))
+    line = lambda i, word, value: F.struct(F.lit(i).alias("rank"), F.concat(F.lit(f"@{word} "), value).alias("value"))
+
+    def head(rows: DataFrame, i: int, which: str) -> DataFrame:
+        md5s = dump_checksum(rows.withColumn("_m", F.md5(F.concat_ws("|", F.col("id").cast("string"), "hash"))), "_m")
+        stamp = rows.agg(F.coalesce(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("")).alias("ts"))
+        lines = md5s.crossJoin(stamp)  # one row each
+        return lines.select(F.explode(F.array(line(i, f"{which}-timestamp", F.col("ts")), line(i + 1, f"{which}-hash", F.concat_ws("-", F.col("n").cast("string"), "head", "tail")))).alias("l")).select("l.*")
+
+    fixed = [line(0, "diff-generation-ts", F.lit(at)), line(1, "old-file", F.lit(names[0])), line(2, "new-file", F.lit(names[1]))]
+    first = old.sparkSession.range(1).select(F.explode(F.array(*fixed)).alias("l")).select("l.*")
+    return first.unionByName(head(old, 3, "old")).unionByName(head(new, 5, "new")).unionByName(rows).orderBy("rank", "value").select("value")
+
+
+def longest_key(*dumps: DataFrame) -> DataFrame:
+    """Length in bytes of the longest id of all dumps."""
+    most = [d.agg(F.max(F.octet_length(F.col("id").cast("string"))).alias("n")) for d in dumps]
+    return reduce(DataFrame.unionByName, most).agg(F.max("n").alias("n"))
+
+
 def dump_checksum(rows: DataFrame, md5_col: str = "md5") -> DataFrame:
     """Order-insensitive checksum of a dump: record count and the sums of both halves of the records' md5."""
     half = lambda at: F.sum(F.conv(F.substring(md5_col, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")

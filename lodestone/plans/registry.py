@@ -1,5 +1,6 @@
 """All queries of the engine by name, with their DuckDB oracles."""
 
+from . import exports  # noqa: F401  (registers its queries)
 from .queries import ORACLES, QUERIES
 from .views import oracle
 
