@@ -7,8 +7,11 @@ input: these go by broadcast and their rows stay where they are; all others are
 shuffled and small.
 
 `split_by` tells rows whose key is surely not in a table of keys from suspects,
-by a Bloom filter sized by that table.  Beyond `MOST_KEYS` keys there is no
-filter: all rows are suspects then, and the caller's join shuffles them.
+by a Bloom filter sized by that table.  Beyond `MOST_KEYS` keys the filter grows
+no more and lets more through; beyond `FULL` times as many there is none: all
+rows are suspects then, and the caller's join shuffles them.  `among` leaves
+only rows whose key is in the table, but for the filter's few errors, whatever
+the number of keys.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ HOT_SHARE = 1e-3
 FEW_ROWS = 200_000
 #: Keys that a Bloom filter takes at 10 bits a key: 8 MiB to broadcast at most.
 MOST_KEYS, _BITS_A_KEY, _BLOCK_LOG2 = 6_700_000, 10, 16
+#: A filter that holds this many times MOST_KEYS still keeps back a third of the others.
+FULL = 8
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
@@ -66,10 +71,10 @@ def _block(size: int):
 
 
 def bloom_of(keys: DataFrame, n: int) -> tuple[int, np.ndarray] | None:
-    """A Bloom filter of one column of n distinct 64-bit hashes; None beyond MOST_KEYS."""
-    if n > MOST_KEYS:
+    """A Bloom filter of one column of n distinct 64-bit hashes; None far beyond MOST_KEYS."""
+    if n > MOST_KEYS * FULL:
         return None
-    log2 = max(10, int(n * _BITS_A_KEY).bit_length())
+    log2 = max(10, int(min(n, MOST_KEYS) * _BITS_A_KEY).bit_length())
     block = min(_BLOCK_LOG2, log2)
     out, size = np.zeros(1 << (log2 - 3), np.uint8), 1 << (block - 3)
     if n:
@@ -98,3 +103,9 @@ def split_by(rows: DataFrame, hashes: Column, keys: DataFrame, n: int) -> tuple[
     """Rows whose 64-bit hash is surely not among the keys (one column, n of them), and the suspects."""
     test = passes(bloom_of(keys, n), hashes)
     return rows.filter(~test), rows.filter(test)
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """Rows whose key is in keys (column key, n distinct ones).  A filter of few keys tells them, with one error in thirty; beyond MOST_KEYS a join leaves none."""
+    kept = split_by(rows, F.xxhash64(key), keys.select(F.xxhash64(key)), n)[1]
+    return kept if n <= MOST_KEYS else kept.join(keys.hint("shuffle_hash"), key, "left_semi").select(*rows.columns)

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import bloom_of, passes, split_by, spread_join
+from .spread import among, bloom_of, passes, split_by, spread_join
 from .textwork import buffers, byte_codes, chunks, dropped, mix, powers, stored, widened
 
 _U = np.uint64
@@ -405,8 +405,8 @@ def covered(docs: DataFrame, text_col: str = "text", p: SuffixParameters = Suffi
     spark = docs.sparkSession
     own = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.short)
     every = stored(own.mapInArrow(_sketch(p), "node binary, key long, print long, s int, c int"), "pieces")
-    twice = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("key").alias("h")), "keys")
-    near = stored(split_by(every, F.xxhash64("key"), twice, twice.count())[1], "suspects")
+    twice = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
+    near = stored(among(every, "key", twice, twice.count()), "suspects")
     dropped(spark, every, twice)
     one = stored(near.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "c")).alias("at")), "once")
     large = one.groupBy("key").agg(F.sum(F.col("at.c") + p.length).alias("bytes")).filter(F.col("bytes") > p.key_bytes)

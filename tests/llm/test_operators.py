@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, entry, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, suffix_dedup, warc
+from lodestone.llm import decontaminate, entry, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, spread, suffix_dedup, warc
 
 FOLDER = "/root/testdata/sf0.001"
 #: Ids, texts, languages and sources with every awkward case, and columns whose names operators use themselves.
@@ -280,6 +280,31 @@ def test_keys_of_many_pieces(spark, key_bytes):
     assert got == {k: (*v, shared[k][1]) for k, v in _brute_repeats(docs, 100).items()}
 
 
+@pytest.mark.parametrize("most", [0, 3, 6_700_000])
+def test_only_repeated_keys_are_sorted(spark, monkeypatch, most):
+    """Beyond the keys that a filter takes, pieces of keys that occur once are left out all the same."""
+    rng, rows = random.Random(7), {}
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passages = [word(150) for _ in range(20)]
+    texts = [word(1500) for _ in range(60)] + [word(100) + p + word(100) for p in passages for _ in range(2)]
+    store = suffix_dedup.stored
+
+    def counted(df, what):
+        out = store(df, what)
+        rows[what] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    monkeypatch.setattr(spread, "MOST_KEYS", most)
+    p = suffix_dedup.SuffixParameters(length=100, least=64, gram=16)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([((i,), t) for i, t in enumerate(texts)], "row struct<doc_id:long>, text string"), p)
+    got = {r["row"]["doc_id"]: tuple(r)[1:6] for r in out.collect()}
+    docs = {i: t.encode() for i, t in enumerate(texts)}
+    shared = _brute_repeats(docs, 64)
+    assert got == {k: (*v, shared[k][1]) for k, v in _brute_repeats(docs, 100).items()}
+    assert rows["keys"] > 3 and rows["suspects"] < 0.2 * rows["pieces"]
+
+
 def test_induced_sorting():
     rng = random.Random(3)
     for _ in range(150):
