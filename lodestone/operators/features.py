@@ -92,7 +92,7 @@ def merge_networks(rows: DataFrame) -> DataFrame:
 
 
 def best_address(candidates: DataFrame, most: int = 10) -> DataFrame:
-    """candidates: poi, addr, d, same_source, same_building, inside, addr_building.  The best address of each POI.
+    """candidates: poi, addr, d, same_source, same_building, inside, addr_building.  The best address of each POI, with its d.
 
     Among its nearest: of the same object, in or around it, on the same
     building, on the building of the nearest one, else the nearest.
@@ -102,8 +102,8 @@ def best_address(candidates: DataFrame, most: int = 10) -> DataFrame:
     first = F.first("addr_building").over(order)
     shared = F.col("addr_building").isNotNull() & (F.col("addr_building") == first) & (F.col("rn") > 1)
     kind = F.when(F.col("same_source"), 0).when(F.col("inside"), 1).when(F.col("same_building"), 2).when(shared, 3).otherwise(F.when(F.col("rn") == 1, 4))
-    ranked = near.withColumn("kind", kind).filter("kind is not null").groupBy("poi").agg(F.min(F.struct("kind", "rn", "addr")).alias("b"))
-    return ranked.select("poi", "b.addr", F.element_at(geo.lits(["sameSource", "contains", "shareBuildingWay", "nearestShareBuildingWay", "nearest"]), F.col("b.kind") + 1).alias("class"))
+    ranked = near.withColumn("kind", kind).filter("kind is not null").groupBy("poi").agg(F.min(F.struct("kind", "rn", "addr", "d")).alias("b"))
+    return ranked.select("poi", "b.addr", "b.d", F.element_at(geo.lits(["sameSource", "contains", "shareBuildingWay", "nearestShareBuildingWay", "nearest"]), F.col("b.kind") + 1).alias("class"))
 
 
 def with_required(rows: DataFrame, boundaries: str, required: list[int]) -> DataFrame:

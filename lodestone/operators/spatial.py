@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cells(lo: Column, hi: Column, size: float) -> Column:
@@ -52,3 +57,106 @@ def nearest(left: DataFrame, right: DataFrame, size: float, extent: float) -> Da
             return found
         todo = todo.join(sure.select("id"), "id", "left_anti")
         level = min(level * 4, extent)
+
+
+#: Distances made at once by nearest_in_squares.
+_PAIRS = 1 << 17
+
+
+def _nearest_of(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, margin: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of p and a: of each p (all different) the nearest `most` of a in its square, ties to the first of a.
+
+    Halved by its longer side until the distances are few.  Where a part's box holds
+    `most` of a, its diagonal bounds their distance, so others need not be looked at.
+    """
+    todo = [(np.arange(len(px)), np.arange(len(ax)))]
+    while todo:
+        p, a = todo.pop()
+        if not len(p) or not len(a):
+            continue
+        x, y, u, v = px[p], py[p], ax[a], ay[a]
+        low_x, high_x, low_y, high_y = x.min(), x.max(), y.min(), y.max()
+        reach = margin
+        if len(p) * len(a) > _PAIRS:
+            own = (u >= low_x) & (u <= high_x) & (v >= low_y) & (v <= high_y)
+            if np.count_nonzero(own) >= most:
+                reach = min(margin, float(np.hypot(float(high_x - low_x), float(high_y - low_y))) * (1 + 1e-9))
+        near = (u >= low_x - reach) & (u <= high_x + reach) & (v >= low_y - reach) & (v <= high_y + reach)
+        a, u, v = a[near], u[near], v[near]
+        if len(p) > 1 and len(p) * len(a) > _PAIRS:
+            along = x if high_x - low_x >= high_y - low_y else y
+            order = np.argsort(along, kind="stable")
+            todo += [(p[order[: len(p) // 2]], a), (p[order[len(p) // 2 :]], a)]
+            continue
+        dx, dy = x[:, None] - u, y[:, None] - v
+        d = dx * dx + dy * dy
+        inside = (np.abs(dx) <= margin) & (np.abs(dy) <= margin)
+        if len(a) > most:
+            far = np.iinfo(d.dtype).max if d.dtype.kind == "i" else np.inf
+            inside &= d <= np.partition(np.where(inside, d, far), most - 1, axis=1)[:, most - 1 : most]
+        row, col = np.nonzero(inside)
+        order = np.lexsort((d[row, col], row))  # stable: ties stay in the order of a
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(len(p)))
+        kept = np.arange(len(row)) - first[row] < most
+        yield p[row[kept]], a[col[kept]]
+
+
+def _tiles(margin: float, most: int):
+    """Rows (_cx, _cy, l, r, x, y) by cell, those with r first -> pairs of l and r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, points, right, held, ready = None, [], None, [], True
+
+        def pairs(own: pa.Table) -> Iterator[pa.RecordBatch]:
+            if right is None:
+                return
+            xy = np.stack([own["x"].to_numpy(), own["y"].to_numpy()])
+            places, at = np.unique(xy, axis=1, return_inverse=True)
+            at = at.reshape(-1)
+            order, n = np.argsort(at, kind="stable"), np.bincount(at, minlength=places.shape[1])
+            first = np.cumsum(n) - n
+            for p, a in _nearest_of(places[0], places[1], points[0], points[1], margin, most):
+                many = n[p]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows = order[np.repeat(first[p], many) + step]
+                yield pa.RecordBatch.from_arrays([own["l"].combine_chunks().take(pa.array(rows)), right.take(pa.array(np.repeat(a, many)))], ["l", "r"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            cx, cy, is_left = t["_cx"].to_numpy(), t["_cy"].to_numpy(), t["l"].is_valid().to_numpy()
+            cut = np.flatnonzero(np.append(True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1]) | (is_left[1:] != is_left[:-1])))
+            for lo, hi in zip(cut, np.append(cut[1:], len(cx)), strict=True):
+                own = t.slice(lo, hi - lo)
+                if cell != (here := (cx[lo], cy[lo])):
+                    cell, right, held, ready = here, None, [], False
+                if not is_left[lo]:
+                    held.append(own)
+                    continue
+                if not ready:
+                    ready = True
+                    if held:
+                        every = pa.concat_tables(held).combine_chunks()
+                        held = []
+                        right, points = every["r"].combine_chunks(), (every["x"].to_numpy(), every["y"].to_numpy())
+                yield from pairs(own)
+
+    return run
+
+
+def nearest_in_squares(left: DataFrame, right: DataFrame, margin: float, most: int, size: float, ties: str) -> DataFrame:
+    """l and r: each left row (x, y) with its nearest `most` right rows (x, y) by planar distance, ties by a column, in the square of a margin around it.
+
+    A left row has one cell and a right row comes to the cells its square meets.
+    A task reads the cells one after the other, the right rows of a cell first:
+    these are in memory at once, the left ones by batches.
+    """
+    kind = T.StructType([T.StructField("l", left.schema), T.StructField("r", right.schema)])
+    there = lambda df: df.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    at = {c: F.floor(F.col(v) / size).cast("long") for c, v in (("_cx", "x"), ("_cy", "y"))}
+    own = there(left).select(*[c.alias(n) for n, c in at.items()], F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema).alias("r"), "x", "y")
+    other = there(right).select(F.struct(*right.columns).alias("r"), "x", "y").withColumn("_cx", F.explode(cells(F.col("x") - margin, F.col("x") + margin, size))).withColumn("_cy", F.explode(cells(F.col("y") - margin, F.col("y") + margin, size)))
+    other = other.select("_cx", "_cy", F.lit(None).cast(left.schema).alias("l"), "r", "x", "y")
+    tiles = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = other.unionByName(own).repartition(tiles, "_cx", "_cy").sortWithinPartitions("_cx", "_cy", F.col("l").isNotNull(), f"r.{ties}")
+    return dealt.mapInArrow(_tiles(margin, most), kind)

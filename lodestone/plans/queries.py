@@ -99,13 +99,13 @@ SELECT *, row_number() OVER (PARTITION BY pid ORDER BY CASE WHEN pid = id THEN 0
 SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, id) AS rn FROM (SELECT p.pid, p.x AS px, p.y AS py, p.size, a.id, a.x, a.y, (a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y) AS d2 FROM {pois} p JOIN {addr_pts} a ON abs(a.x - p.x) <= 2500 AND abs(a.y - p.y) <= 2500)) WHERE rn <= 10) WHERE best = 1""")
 def q_poi_best_address(spark, d):
     """Best address of each POI among its ten nearest: same source, contained, else nearest."""
-    met = spatial.boxes_meet_points(_poi_boxes(spark, d), frame(spark, d, "addr_pts").select("id", "x", "y"), 2_500, 5_000.0)
+    pois, points = frame(spark, d, "pois").select("pid", "x", "y", "size"), frame(spark, d, "addr_pts").select("id", "x", "y")
+    met = spatial.nearest_in_squares(pois, points, 2_500, 10, 5_000.0, "id").select("l.pid", F.col("l.x").alias("px"), F.col("l.y").alias("py"), "l.size", "r.*")
     met = met.withColumn("d2", (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
     inside = (F.abs(F.col("x") - F.col("px")) <= F.col("size") * 20) & (F.abs(F.col("y") - F.col("py")) <= F.col("size") * 20)
     none = F.lit(None).cast("long")
     candidates = met.select(F.col("pid").alias("poi"), F.col("id").alias("addr"), F.col("d2").alias("d"), (F.col("pid") == F.col("id")).alias("same_source"), F.lit(False).alias("same_building"), inside.alias("inside"), none.alias("addr_building"))
-    best = features.best_address(candidates)
-    return best.join(candidates.select("poi", "addr", "d"), ["poi", "addr"]).select(F.col("poi").alias("pid"), F.col("addr").alias("id"), F.col("d").alias("d2"), "class")
+    return features.best_address(candidates).select(F.col("poi").alias("pid"), F.col("addr").alias("id"), F.col("d").alias("d2"), "class")
 
 
 @query("""SELECT s.way, a.id, round(d2, 3) AS d2 FROM (SELECT s.way, a.id, (a.x - (s.x1 + t * (s.x2 - s.x1))) * (a.x - (s.x1 + t * (s.x2 - s.x1))) + (a.y - (s.y1 + t * (s.y2 - s.y1))) * (a.y - (s.y1 + t * (s.y2 - s.y1))) AS d2 FROM (

@@ -44,3 +44,62 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 150
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="session")
+def dense(spark, tmp_path_factory):
+    """Addresses and POIs at a few places: the views' coordinates repeat every 6,120,000 keys."""
+    folder = str(tmp_path_factory.mktemp("dense"))
+    key = "cast(id div 4 * 6120000 + id % 4 as bigint)"
+    spark.range(400).selectExpr(f"{key} as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{folder}/customer.parquet")
+    spark.range(24).selectExpr(f"{key} as p_partkey", "'T' as p_type", "cast(id % 50 as int) as p_size", "'N' as p_name").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(("name", "module", "taken", "most"), [("q_poi_best_address", "features", "best_address", 10)])
+def test_only_the_nearest_are_paired(spark, oracle, dense, monkeypatch, name, module, taken, most):
+    import importlib
+
+    operators = importlib.import_module(f"lodestone.operators.{module}")
+    inner, seen = getattr(operators, taken), []
+
+    def watched(*args, **more):
+        seen.append(args[0] if module == "features" else args[1])
+        return inner(*args, **more)
+
+    monkeypatch.setattr(operators, taken, watched)
+    oracle(registry.queries()[name](spark, dense), registry.oracle_sql()[name], dense)
+    assert seen[0].groupBy(seen[0].columns[0]).count().agg({"count": "max"}).first()[0] == most
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 17])
+@pytest.mark.parametrize("kind", [int, float])
+def test_nearest_against_all_pairs(monkeypatch, pairs, kind):
+    import random
+
+    import numpy as np
+
+    from lodestone.operators import spatial
+
+    monkeypatch.setattr(spatial, "_PAIRS", pairs)
+    rng = random.Random(pairs)
+    for spread in (3, 40, 400):
+        p = sorted({(kind(rng.randint(0, spread)), kind(rng.randint(0, spread))) for _ in range(40)})
+        a = [(kind(rng.randint(-9, spread)), kind(rng.randint(0, spread) // 3)) for _ in range(90)]
+        px, py, ax, ay = (np.array(v) for v in (*zip(*p), *zip(*a)))
+        for margin, most in ((25, 4), (1000, 10), (0, 1), (25, 200)):
+            got = [(int(i), int(j)) for x, y in spatial._nearest_of(px, py, ax, ay, margin, most) for i, j in zip(x, y)]
+            want = [(i, j) for i, (x, y) in enumerate(p) for _, j in sorted(((u - x) ** 2 + (v - y) ** 2, j) for j, (u, v) in enumerate(a) if abs(u - x) <= margin and abs(v - y) <= margin)[:most]]
+            assert sorted(got) == sorted(want)
+
+
+def test_nearest_in_squares_of_odd_rows(spark):
+    """Rows without a place pair with none, equal places pair all the same, ties go by the column given."""
+    from lodestone.operators import spatial
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, None, 0.0), (4, float("nan"), 0.0), (5, -12.0, 0.5), (6, 99.0, 99.0)], "id long, x double, y double")
+    right = spark.createDataFrame([("b", 3.0, 4.0), ("a", -3.0, 4.0), ("c", 3.0, 4.0), (None, 1.0, None), ("d", -9.0, 0.0), ("e", float("nan"), 0.0)], "ref string, x double, y double")
+    got = spatial.nearest_in_squares(left, right, 10, 2, 7.0, "ref").select("l.id", "r.ref")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (5, "a"), (5, "d")]
+    assert spatial.nearest_in_squares(left.limit(0), right, 10, 2, 7.0, "ref").count() == spatial.nearest_in_squares(left, right.limit(0), 10, 2, 7.0, "ref").count() == 0
