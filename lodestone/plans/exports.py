@@ -86,10 +86,11 @@ def q_building_attach(spark, d):
 row_number() OVER (PARTITION BY p.pid ORDER BY (a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y), concat('a', CAST(a.id AS STRING))) AS rn FROM {pois} p JOIN {addr_pts} a ON abs(a.x - p.x) <= 2500 AND abs(a.y - p.y) <= 2500) WHERE rn <= 3) n ON n.pid = p.pid GROUP BY p.pid""")
 def q_nearby_refs(spark, d):
     """References of the three nearest addresses of each POI."""
-    pois = frame(spark, d, "pois").select("pid", F.col("x").alias("minx"), F.col("x").alias("maxx"), F.col("y").alias("miny"), F.col("y").alias("maxy"))
-    met = spatial.boxes_meet_points(pois, frame(spark, d, "addr_pts").select("id", "street", "x", "y"), 2_500, 5_000.0)
-    d2 = (F.col("x") - F.col("minx")) * (F.col("x") - F.col("minx")) + (F.col("y") - F.col("miny")) * (F.col("y") - F.col("miny"))
-    near = met.select("pid", d2.cast("double").alias("d"), F.struct(F.concat(F.lit("a"), _text(F.col("id"))).alias("id"), _tags(name=F.col("street")).alias("tags")).alias("o"))
+    pois = frame(spark, d, "pois").select("pid", "x", "y")
+    points = frame(spark, d, "addr_pts").select(F.concat(F.lit("a"), _text(F.col("id"))).alias("ref"), "street", "x", "y")
+    met = spatial.nearest_in_squares(pois, points, 2_500, 3, 5_000.0, "ref")
+    d2 = (F.col("r.x") - F.col("l.x")) * (F.col("r.x") - F.col("l.x")) + (F.col("r.y") - F.col("l.y")) * (F.col("r.y") - F.col("l.y"))
+    near = met.select("l.pid", d2.cast("double").alias("d"), F.struct(F.col("r.ref").alias("id"), _tags(name=F.col("r.street")).alias("tags")).alias("o"))
     out = attach.with_nearby(pois.select("pid"), near, "pid", "d", "o", 3, "refs")
     return out.select("pid", F.array_join(F.transform("refs", lambda r: F.concat(r["id"], F.lit("="), r["properties"]["name"])), ",").alias("refs"))
 

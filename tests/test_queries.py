@@ -56,7 +56,7 @@ def dense(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize(("name", "module", "taken", "most"), [("q_poi_best_address", "features", "best_address", 10)])
+@pytest.mark.parametrize(("name", "module", "taken", "most"), [("q_poi_best_address", "features", "best_address", 10), ("q_nearby_refs", "attach", "with_nearby", 3)])
 def test_only_the_nearest_are_paired(spark, oracle, dense, monkeypatch, name, module, taken, most):
     import importlib
 
