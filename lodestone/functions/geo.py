@@ -199,3 +199,10 @@ def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column
     t = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.when(n == 0, 1.0).otherwise(n))))
     ex, ey = px - (ax + t * dx), py - (ay + t * dy)
     return ex * ex + ey * ey
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double of at least zero and below 2**52 / 10**places, rounded half up in binary, without a decimal for each value."""
+    v = value * float(10**places)
+    low = F.floor(v)
+    return (low + F.when(v - low >= 0.5, 1).otherwise(0)) / float(10**places)

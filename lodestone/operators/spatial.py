@@ -102,48 +102,92 @@ def _nearest_of(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray,
         yield p[row[kept]], a[col[kept]]
 
 
-def _tiles(margin: float, most: int):
-    """Rows (_cx, _cy, l, r, x, y) by cell, those with r first -> pairs of l and r."""
+def _by_cell(pairs):
+    """Rows (_cx, _cy, _left, ...) by cell, right ones first -> what pairs makes of the left rows of a cell, batch by batch, and all its right ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, points, right, held, ready = None, [], None, [], True
-
-        def pairs(own: pa.Table) -> Iterator[pa.RecordBatch]:
-            if right is None:
-                return
-            xy = np.stack([own["x"].to_numpy(), own["y"].to_numpy()])
-            places, at = np.unique(xy, axis=1, return_inverse=True)
-            at = at.reshape(-1)
-            order, n = np.argsort(at, kind="stable"), np.bincount(at, minlength=places.shape[1])
-            first = np.cumsum(n) - n
-            for p, a in _nearest_of(places[0], places[1], points[0], points[1], margin, most):
-                many = n[p]
-                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                rows = order[np.repeat(first[p], many) + step]
-                yield pa.RecordBatch.from_arrays([own["l"].combine_chunks().take(pa.array(rows)), right.take(pa.array(np.repeat(a, many)))], ["l", "r"])
-
+        cell, held, right = None, [], None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            cx, cy, is_left = t["_cx"].to_numpy(), t["_cy"].to_numpy(), t["l"].is_valid().to_numpy()
+            cx, cy, is_left = (t[c].to_numpy() for c in ("_cx", "_cy", "_left"))
             cut = np.flatnonzero(np.append(True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1]) | (is_left[1:] != is_left[:-1])))
-            for lo, hi in zip(cut, np.append(cut[1:], len(cx)), strict=True):
-                own = t.slice(lo, hi - lo)
+            for lo, hi in zip(cut, np.append(cut[1:], len(cx)), strict=True) if len(cx) else ():
                 if cell != (here := (cx[lo], cy[lo])):
-                    cell, right, held, ready = here, None, [], False
+                    cell, held, right = here, [], None
                 if not is_left[lo]:
-                    held.append(own)
-                    continue
-                if not ready:
-                    ready = True
-                    if held:
-                        every = pa.concat_tables(held).combine_chunks()
-                        held = []
-                        right, points = every["r"].combine_chunks(), (every["x"].to_numpy(), every["y"].to_numpy())
-                yield from pairs(own)
+                    held.append(t.slice(lo, hi - lo))
+                elif held or right is not None:
+                    right = pa.concat_tables(held).combine_chunks() if right is None else right
+                    held = []
+                    yield from pairs(t.slice(lo, hi - lo).combine_chunks(), right)
 
     return run
 
 
+def _taken(left: pa.Table, rows: np.ndarray, right: pa.Table, others: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    columns = [t[c].combine_chunks().take(pa.array(at)) for t, c, at in ((left, "l", rows), (right, "r", others))]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in more.values())], ["l", "r", *more])
+
+
+def _nearest(margin: float, most: int):
+    def pairs(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        places, at = np.unique(np.stack([left["x"].to_numpy(), left["y"].to_numpy()]), axis=1, return_inverse=True)
+        at = at.reshape(-1)
+        order, n = np.argsort(at, kind="stable"), np.bincount(at, minlength=places.shape[1])
+        first = np.cumsum(n) - n
+        for p, a in _nearest_of(places[0], places[1], right["x"].to_numpy(), right["y"].to_numpy(), margin, most):
+            many = n[p]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield _taken(left, order[np.repeat(first[p], many) + step], right, np.repeat(a, many))
+
+    return _by_cell(pairs)
+
+
+def _near_segments(distance: float):
+    def pairs(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        x1, y1, x2, y2 = (left[c].to_numpy() for c in ("x", "y", "x2", "y2"))
+        px, py = right["x"].to_numpy(), right["y"].to_numpy()
+        box = np.stack([np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)])
+        dx, dy = (x2 - x1).astype(float), (y2 - y1).astype(float)
+        n = dx * dx + dy * dy
+        todo = [(np.arange(len(x1)), np.arange(len(px)))]
+        while todo:
+            s, p = todo.pop()
+            own = box[:, s]
+            low, high = own.min(axis=1), own.max(axis=1)
+            u, v = px[p], py[p]
+            near = (u >= low[0] - distance) & (u <= high[1] + distance) & (v >= low[2] - distance) & (v <= high[3] + distance)
+            p = p[near]
+            if not len(p):
+                continue
+            if len(s) > 1 and len(s) * len(p) > _PAIRS // 2:
+                order = np.argsort(own[np.argmax(high - low)], kind="stable")
+                todo += [(s[order[: len(s) // 2]], p), (s[order[len(s) // 2 :]], p)]
+                continue
+            u, v = px[p], py[p]
+            col = lambda x: x[s][:, None]  # noqa: B023, E731
+            ax, ay, ex, ey, size = col(x1), col(y1), col(dx), col(dy), col(n)
+            share = ((u - ax) * ex + (v - ay) * ey) / np.where(size == 0, 1.0, size)
+            np.clip(share, 0.0, 1.0, out=share)
+            gx, gy = u - (ax + share * ex), v - (ay + share * ey)
+            d2 = gx * gx + gy * gy
+            row, at = np.nonzero(d2 <= distance * distance)
+            yield _taken(left, s[row], right, p[at], d2=d2[row, at])
+
+    return _by_cell(pairs)
+
+
+def _dealt(left: DataFrame, right: DataFrame, *order: str) -> DataFrame:
+    """Left and right rows (_cx, _cy, l, r and more) together by cell, right ones first."""
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    return both.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cx", "_cy").sortWithinPartitions("_cx", "_cy", "_left", *order)
+
+
+def _located(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of which no coordinate is missing."""
+    return df.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
+
+
 def nearest_in_squares(left: DataFrame, right: DataFrame, margin: float, most: int, size: float, ties: str) -> DataFrame:
     """l and r: each left row (x, y) with its nearest `most` right rows (x, y) by planar distance, ties by a column, in the square of a margin around it.
 
@@ -152,11 +196,21 @@ def nearest_in_squares(left: DataFrame, right: DataFrame, margin: float, most: i
     these are in memory at once, the left ones by batches.
     """
     kind = T.StructType([T.StructField("l", left.schema), T.StructField("r", right.schema)])
-    there = lambda df: df.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    at = {c: F.floor(F.col(v) / size).cast("long") for c, v in (("_cx", "x"), ("_cy", "y"))}
-    own = there(left).select(*[c.alias(n) for n, c in at.items()], F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema).alias("r"), "x", "y")
-    other = there(right).select(F.struct(*right.columns).alias("r"), "x", "y").withColumn("_cx", F.explode(cells(F.col("x") - margin, F.col("x") + margin, size))).withColumn("_cy", F.explode(cells(F.col("y") - margin, F.col("y") + margin, size)))
-    other = other.select("_cx", "_cy", F.lit(None).cast(left.schema).alias("l"), "r", "x", "y")
-    tiles = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = other.unionByName(own).repartition(tiles, "_cx", "_cy").sortWithinPartitions("_cx", "_cy", F.col("l").isNotNull(), f"r.{ties}")
-    return dealt.mapInArrow(_tiles(margin, most), kind)
+    at = [F.floor(F.col(v) / size).cast("long").alias(c) for c, v in (("_cx", "x"), ("_cy", "y"))]
+    own = _located(left, "x", "y").select(*at, F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema).alias("r"), "x", "y")
+    other = _located(right, "x", "y").select(F.struct(*right.columns).alias("r"), "x", "y").withColumn("_cx", F.explode(cells(F.col("x") - margin, F.col("x") + margin, size))).withColumn("_cy", F.explode(cells(F.col("y") - margin, F.col("y") + margin, size)))
+    return _dealt(own, other.withColumn("l", F.lit(None).cast(left.schema)), f"r.{ties}").mapInArrow(_nearest(margin, most), kind)
+
+
+def points_near_segments(segments: DataFrame, points: DataFrame, distance: float, size: float, segment: str, point: str) -> DataFrame:
+    """segment, point (their columns of these names) and d2: points (x, y) within a distance of segments (x1, y1, x2, y2), and its square.
+
+    A point has one cell and a segment comes to the cells its box meets, so no
+    pair comes twice.  A task holds the points of one cell in memory.
+    """
+    low, high = (lambda c, f=f: f(f"{c}1", f"{c}2") for f in (F.least, F.greatest))
+    dealt = _located(segments, "x1", "y1", "x2", "y2").select(F.col(segment).alias("l"), F.col("x1").alias("x"), F.col("y1").alias("y"), "x2", "y2", low("x").alias("_a"), high("x").alias("_b"), low("y").alias("_c"), high("y").alias("_d"))
+    dealt = dealt.withColumn("_cx", F.explode(cells(F.col("_a") - distance, F.col("_b") + distance, size))).withColumn("_cy", F.explode(cells(F.col("_c") - distance, F.col("_d") + distance, size)))
+    at = _located(points, "x", "y").select(*[F.floor(F.col(v) / size).cast("long").alias(c) for c, v in (("_cx", "x"), ("_cy", "y"))], F.col(point).alias("r"), "x", "y")
+    kind = T.StructType([T.StructField("l", segments.schema[segment].dataType), T.StructField("r", points.schema[point].dataType), T.StructField("d2", T.DoubleType())])
+    return _dealt(dealt.drop("_a", "_b", "_c", "_d"), at).mapInArrow(_near_segments(distance), kind).select(F.col("l").alias(segment), F.col("r").alias(point), "d2")

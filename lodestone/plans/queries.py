@@ -112,11 +112,9 @@ def q_poi_best_address(spark, d):
 SELECT s.*, a.id, a.x, a.y, CASE WHEN s.x1 = s.x2 AND s.y1 = s.y2 THEN 0.0 ELSE greatest(0.0, least(1.0, CAST((a.x - s.x1) * (s.x2 - s.x1) + (a.y - s.y1) * (s.y2 - s.y1) AS DOUBLE) / CAST((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) AS DOUBLE))) END AS t FROM {seg_lines} s JOIN {addr_pts} a ON a.x BETWEEN least(s.x1, s.x2) - 450 AND greatest(s.x1, s.x2) + 450 AND a.y BETWEEN least(s.y1, s.y2) - 450 AND greatest(s.y1, s.y2) + 450) s, (SELECT 1) a2, LATERAL (SELECT s.id AS id, s.x AS x, s.y AS y) a) s, LATERAL (SELECT s.id AS id) a WHERE d2 <= 202500""")
 def q_street_within(spark, d):
     """Addresses within a distance of each street segment."""
-    lines = frame(spark, d, "seg_lines")
-    shapes = lines.withColumns({"minx": F.least("x1", "x2"), "maxx": F.greatest("x1", "x2"), "miny": F.least("y1", "y2"), "maxy": F.greatest("y1", "y2")})
-    met = spatial.boxes_meet_points(shapes, frame(spark, d, "addr_pts").select("id", "x", "y"), 450, 4_000.0)
-    d2 = geo.segment_distance2(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    return met.withColumn("d2", d2).filter("d2 <= 202500").select("way", "id", F.round("d2", 3).alias("d2"))
+    lines, points = frame(spark, d, "seg_lines").select("way", "x1", "y1", "x2", "y2"), frame(spark, d, "addr_pts").select("id", "x", "y")
+    met = spatial.points_near_segments(lines, points, 450, 12_000.0, "way", "id")
+    return met.select("way", "id", geo.rounded(F.col("d2"), 3).alias("d2"))
 
 
 @query("SELECT DISTINCT way, bid FROM (SELECT way, x1 AS x, y1 AS y FROM {seg_lines} UNION ALL SELECT way, x2, y2 FROM {seg_lines}) v JOIN {nation_box} b ON v.x > b.minx AND v.x < b.maxx AND v.y > b.miny AND v.y < b.maxy")

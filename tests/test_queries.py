@@ -103,3 +103,51 @@ def test_nearest_in_squares_of_odd_rows(spark):
     got = spatial.nearest_in_squares(left, right, 10, 2, 7.0, "ref").select("l.id", "r.ref")
     assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (5, "a"), (5, "d")]
     assert spatial.nearest_in_squares(left.limit(0), right, 10, 2, 7.0, "ref").count() == spatial.nearest_in_squares(left, right.limit(0), 10, 2, 7.0, "ref").count() == 0
+
+
+def test_street_within_makes_no_pairs_of_cells(spark):
+    """No join of whole cells: pairs beyond the distance are not made as rows."""
+    assert "Join" not in registry.queries()["q_street_within"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("pairs", [2, 1 << 17])
+def test_points_near_segments_against_all_pairs(spark, monkeypatch, pairs):
+    """Long, short and pointlike segments, places that repeat or are missing."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import spatial
+
+    rng = random.Random(3)
+    at = lambda: rng.randint(-60, 60)
+    lines = [(i, at(), at()) for i in range(40)]
+    lines = [(i, x, y, x + (i % 3) * rng.randint(-90, 90), y + (i % 3) * rng.randint(-4, 4)) for i, x, y in lines]
+    points = [(i, at(), at()) for i in range(60)] + [(99, 0, 0), (98, 0, 0)]
+
+    def d2(x, y, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0.0
+        return (x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2
+
+    want = {(w, i): d for w, *line in lines for i, x, y in points if (d := d2(x, y, *line)) <= 100}
+    df = spark.createDataFrame([*lines, (None, None, 0, 0, 0)], "way long, x1 long, y1 long, x2 long, y2 long"), spark.createDataFrame([*points, (97, None, 0)], "id long, x long, y long")
+    got = spatial.points_near_segments(*df, 10, 25.0, "way", "id").collect()
+    assert len(got) == len(want) and {(r["way"], r["id"]): r["d2"] for r in got} == want
+    monkeypatch.setattr(spatial, "_PAIRS", pairs)
+    table = lambda rows, *names: pa.table({n: pa.array(np.array(v)) for n, v in zip(names, zip(*rows), strict=True)})
+    own, other = table(lines, "l", "x", "y", "x2", "y2"), table(points, "r", "x", "y")
+    cell = lambda t, left: t.append_column("_cx", pa.array([0] * len(t))).append_column("_cy", pa.array([0] * len(t))).append_column("_left", pa.array([left] * len(t)))
+    every = pa.concat_tables([cell(other, False), cell(own, True)], promote_options="default").combine_chunks().to_batches()
+    assert {(a, b): d for r in spatial._near_segments(10)(iter(every)) for a, b, d in zip(*(c.to_pylist() for c in r.columns), strict=True)} == want
+
+
+def test_rounded(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import geo
+
+    values = [0.0, 0.0005, 0.49999999999999994e-3, 1.0004, 12.3456, 202500.0, 3.0625, 1.9999]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(geo.rounded(F.col("v"), 3).alias("x")).collect()]
+    assert got == [0.0, 0.001, 0.0, 1.0, 12.346, 202500.0, 3.063, 2.0]
