@@ -30,8 +30,9 @@ bucket is worked off in rounds.
    not compared.  A bucket whose members are all of one component is done.
 So copies of one original cost one comparison each, and every pair of a bucket
 that is neither connected otherwise nor excluded by the bound is compared.
-Links join components by label propagation over tables; hot buckets, leads and
-components are joined as spread.py says, so no task holds a group.
+Links join components in one task where there are `FEW_ROWS` at most, beyond
+that by label propagation over tables; hot buckets, leads and components are
+joined as spread.py says, so no task holds a group.
 
 Texts equal in all bytes (in 128 bits of their SHA-256) are one node from the
 start.  Null texts count as empty; texts without words are only near their
@@ -49,6 +50,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -323,9 +325,39 @@ def _elements(weights: Weights):
 EDGES_A_TASK = 50_000
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, of the nodes with links (a, b); stored."""
+def united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of the component of each of n nodes; a, b: links.  Roots go under the smallest root they are linked to."""
+    label = np.arange(n)
+    while True:
+        one, other = label[a], label[b]
+        if not (apart := one != other).any():
+            return label
+        np.minimum.at(label, np.maximum(one, other)[apart], np.minimum(one, other)[apart])
+        while ((up := label[label]) != label).any():
+            label = up
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) -> node, label."""
+    links = list(batches)
+    if not sum(batch.num_rows for batch in links):
+        return
+    a, b = (pa.chunked_array([batch.column(k) for batch in links]) for k in (0, 1))
+    nodes = pc.unique(pa.chunked_array([*a.chunks, *b.chunks]))
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    label = united(pc.index_in(a, nodes).to_numpy(), pc.index_in(b, nodes).to_numpy(), len(nodes))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "label"])
+
+
+def components(links: DataFrame, n: int | None = None) -> DataFrame:
+    """node, label: the smallest node of its component, of the nodes with links (a, b); stored.  n: the number of links, if it is known.
+
+    Of at most FEW_ROWS links one task makes them; the propagation takes some thirty jobs, whose plans and stages the driver keeps.
+    """
     spark = links.sparkSession
+    if (links.count() if n is None else n) <= FEW_ROWS:
+        kind = links.schema["a"].dataType.simpleString()
+        return stored(links.select("a", "b").coalesce(1).mapInArrow(_united, f"node {kind}, label {kind}"), "labels")
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     total = edges.count()
     few = total // EDGES_A_TASK + 1  # small graphs need few tasks
@@ -408,7 +440,7 @@ def labelled(vectors: DataFrame, weights: Weights, p: NearParameters) -> DataFra
     members = stored(placed.select("bucket", "node").join(known, "node").select("bucket", "node", F.col("node").alias("comp"), "score", "w", F.col("w").alias("r")).coalesce(max(1, total // MEMBERS_A_FILE)), "members")
     dropped(spark, placed, scores)
     few = max(1, total // MEMBERS_A_FILE)  # the rounds' tables are small: few files
-    columns, turn, pruned, seen = ["bucket", "node", "comp", "score", "w", "r"], 0, False, []
+    columns, turn, pruned, seen, n_seen = ["bucket", "node", "comp", "score", "w", "r"], 0, False, [], 0
     top = F.max(F.struct("score", "node", "comp", "w", "r"))
     while True:
         alive = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), top.alias("top")).filter("c1 != c2").drop("c1", "c2")
@@ -417,7 +449,7 @@ def labelled(vectors: DataFrame, weights: Weights, p: NearParameters) -> DataFra
         if not total:
             dropped(spark, alive, members, vectors)
             # Links of all rounds are between representatives: their components are those of the nodes.
-            labels = components(reduce(DataFrame.union, seen)).select("node", F.col("label").alias("comp")) if seen else None
+            labels = components(reduce(DataFrame.union, seen), n_seen).select("node", F.col("label").alias("comp")) if seen else None
             dropped(spark, *seen)
             return labels
         few = max(1, total // MEMBERS_A_FILE)
@@ -455,10 +487,11 @@ def labelled(vectors: DataFrame, weights: Weights, p: NearParameters) -> DataFra
         both = spread_join(pairs.join(vectors.select("node", F.col("vector").alias("vm")).hint("merge"), "node"), leading, "l", "asked", pairs.count())
         linked = stored(both.select("cm", "cl", "vm", "vl").mapInArrow(_verify(weights, p.similarity), "a binary, b binary").distinct().coalesce(few), "links")
         left = flagged.filter("not lead").select(columns)
-        if linked.limit(1).count():
-            names = components(linked)
+        if n_linked := linked.count():
+            names = components(linked, n_linked)
             members = stored(_renamed(left, names, total).coalesce(few), "members")
             seen.append(linked)
+            n_seen += n_linked
             dropped(spark, names)
         else:
             members = stored(left, "members")

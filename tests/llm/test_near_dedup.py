@@ -123,3 +123,40 @@ def test_clashing_and_null(spark):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "1", "2", "None", "None"]
     upper = docs.withColumnsRenamed({"_gone": "node", "_node": "class_id"})
     assert near_dedup.deduplicate(upper).count() == 5
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_components(spark, monkeypatch, few):
+    if few is not None:
+        monkeypatch.setattr(near_dedup, "FEW_ROWS", few)
+    rng = random.Random(3)
+    path = list(range(300, 360))
+    rng.shuffle(path)  # a long chain in no order
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + list(zip(path, path[1:], strict=False)) + [(400, 401), (401, 400), (400, 401)]
+    name = lambda i: bytes([(i * 37) % 256, i % 256, i // 256])
+    want = {x: min(c) for x, c in _components([(name(a), name(b)) for a, b in pairs]).items()}
+    links = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary")
+    got = [(bytes(r["node"]), bytes(r["label"])) for r in near_dedup.components(links).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert not near_dedup.components(links.limit(0)).count()
+
+
+def test_components_of_few_links_take_few_jobs(spark, tmp_path):
+    """The driver keeps every job's plan and stages, and the propagation takes many jobs."""
+    spark.range(60).selectExpr("cast(cast(id as string) as binary) a", "cast(cast(id + 1 as string) as binary) b").write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        near_dedup.components(links)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _components(links):
+    """The set of nodes of each node's component."""
+    of = {}
+    for a, b in links:
+        both = of.get(a, {a}) | of.get(b, {b})
+        of |= dict.fromkeys(both, both)
+    return of
